@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusmill.llm import bpe, components, ledger, raking
+from corpusmill.llm import bpe, components, garbled, leaks, ledger, overlap, raking
 
 
 def _read(spark: SparkSession, d: str, table: str) -> DataFrame:
@@ -76,6 +76,25 @@ def p4_ledger(spark: SparkSession, d: str) -> DataFrame:
     return _ledger(spark, d)[0].select("keep_id", "copies", "first_id")
 
 
+# Problem 6 -----------------------------------------------------------------------------------------------------------
+
+
+def _crossing(spark: SparkSession, d: str) -> DataFrame:
+    return overlap.crossing(_read(spark, d, "dataset_v1"), _read(spark, d, "split_rows"), _read(spark, d, "splits_manifest"))
+
+
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    return _crossing(spark, d).select("id_a", "id_b").distinct()
+
+
+def p6_by_split(spark: SparkSession, d: str) -> DataFrame:
+    """split_version, split, source, records found in it that are in train too, and the zero that is claimed."""
+    claim = _read(spark, d, "splits_stats").select("split_version", F.col("leakage_validation.fingerprints_spanning_splits").alias("claimed"))
+    source = _read(spark, d, "dataset_v1").select(F.col("id").alias("held_id"), "source")
+    found = _crossing(spark, d).select("split_version", "split", "held_id").distinct().join(source, "held_id")
+    return found.groupBy("split_version", "split", "source").agg(F.count("*").alias("leaked")).join(claim, "split_version", "left")
+
+
 # Problem 8 -----------------------------------------------------------------------------------------------------------
 
 
@@ -87,8 +106,27 @@ def p8_round_trip(spark: SparkSession, d: str) -> DataFrame:
     return bpe.decoded(p8_ids(spark, d), "doc_id")
 
 
+# Problem 9 -----------------------------------------------------------------------------------------------------------
+
+
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return leaks.leaked(_read(spark, d, "documents"), _read(spark, d, "heldout_items"))
+
+
+# Problem 10 ----------------------------------------------------------------------------------------------------------
+
+
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    return garbled.garbled(_read(spark, d, "documents")).select("doc_id").distinct()
+
+
+def p10_restored(spark: SparkSession, d: str) -> DataFrame:
+    return garbled.garbled(_read(spark, d, "documents"))
+
+
 QUERIES = {
     "p1_found": p1_found, "p1_group_sizes": p1_group_sizes, "p2_found": p2_found, "p2_report": p2_report, "p2_sample": p2_sample,
-    "p4_found": p4_found, "p4_ledger": p4_ledger, "p8_ids": p8_ids, "p8_round_trip": p8_round_trip,
+    "p4_found": p4_found, "p4_ledger": p4_ledger, "p6_found": p6_found, "p6_by_split": p6_by_split, "p8_ids": p8_ids, "p8_round_trip": p8_round_trip, "p9_found": p9_found,
+    "p10_found": p10_found, "p10_restored": p10_restored,
 }
 ORACLE = {"p2_found": P2_FOUND_SQL, "p8_round_trip": "select doc_id, coalesce(text, '') as text from documents"}

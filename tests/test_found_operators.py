@@ -1,0 +1,80 @@
+"""Problems 6, 9 and 10 against brute force on small inputs."""
+
+import random
+
+from corpusmill.llm import garbled, leaks, overlap
+
+
+def test_queries_are_registered():
+    import __spark_entry__
+
+    assert {"p6_found", "p9_found", "p10_found"} <= set(__spark_entry__.queries())
+
+
+def test_windows_equal_brute_force():
+    rng = random.Random(1)
+    vocabulary = [f"w{i}" for i in range(30)]
+    items = tuple((f"i{k}", " ".join(rng.choices(vocabulary, k=40))) for k in range(8))
+    texts = []
+    for _ in range(60):
+        ws = rng.choices(vocabulary, k=50)
+        src = leaks.words(items[rng.randrange(8)][1])
+        at, n = rng.randrange(28), rng.choice([11, 12, 13])
+        ws[20:20] = src[at : at + n]
+        texts.append(ws)
+    marks, where = leaks._index(items, 12)
+    want = set()
+    for k, ws in enumerate(texts):
+        for i in range(len(ws) - 11):
+            want |= {(k, item) for item, t in items if f" {' '.join(ws[i : i + 12])} " in f" {' '.join(leaks.words(t))} "}
+    assert want and set(leaks._search(texts, marks, where, 12)) == want
+
+
+def test_windows_across_blocks(monkeypatch):
+    monkeypatch.setattr(leaks, "BLOCK", 16)
+    item = " ".join(f"x{i}" for i in range(14))
+    marks, where = leaks._index((("a", item),), 12)
+    for shift in range(40):
+        ws = ["z"] * shift + leaks.words(item) + ["y"] * 9
+        assert leaks._search([["x0"], ws], marks, where, 12) == [(1, "a")]
+
+
+def test_markup_case_and_space_do_not_matter():
+    assert leaks.readings("One <b>TWO</b>\\nthree")[-1] == ["one", "two", "three"]
+    assert leaks.readings(None) == [] and leaks.words("") == []
+
+
+def test_prompts_apart():
+    a = "Destination: Vinlo\nSeason: May\nOne two three four five six seven eight"
+    assert overlap.apart(a, "Season: May | Destination: Vinlo\nOne two, THREE four five six seven eight") == 0
+    assert overlap.apart(a, "Season: May | Destination: Vinlo\nOne twoo three four six seven eight nine") == 3
+    assert overlap.apart(a, "Season: May\nDestination: Vinlo\nuno due tre quattro cinque six seven eight") == 5
+    assert overlap.distance("step free access".split(), "stepfree access".split(), 4) == 0
+
+
+def test_edited_prompts_share_a_rare_mark():
+    rng = random.Random(2)
+    for _ in range(200):
+        a = [f"w{rng.randrange(50)}" for _ in range(rng.randrange(3, 60))]
+        b = list(a)
+        for _ in range(4):
+            at = rng.randrange(len(b) + 1)
+            b[at : at + rng.randrange(2)] = [f"n{rng.randrange(9)}"] * rng.randrange(2)
+        ta, tb = overlap._tokens([], a, 4), overlap._tokens([], b, 4)
+        first = lambda t: {x for k in (0, 1, 2) for x in sorted(y for y in t if y[0] == k)[: 9 if k == 0 else 5]}
+        if b:
+            assert first(ta) & first(tb)
+
+
+def test_garbled_round_trips():
+    fr, ru, ja = "La météo change près du théâtre, à côté", "Перед поездкой проверьте музей", "地元の人は親切で、道を教えてくれます"
+    for text in (fr, ru, ja, "“£12 or €15 – your choice” naïve café", "NÃO É «bom» CAFÉ»", None, ""):
+        assert garbled.kind_of(text) is None
+    for enc in ("latin-1", "mac_roman", "cp437", "cp850"):
+        assert garbled.kind_of(fr.encode().decode(enc))[1] == fr
+    assert garbled.kind_of(ru.encode().decode("cp1251", "ignore")) is not None
+    assert garbled.kind_of(ru.encode("koi8_r").decode("cp1251"))[1] == ru
+    assert garbled.kind_of(ru.encode("cp1251").decode("cp866"))[1] == ru
+    assert garbled.kind_of(ja.encode("euc_jp").decode("latin-1"))[1] == ja
+    assert garbled.kind_of("Käse und Süßes".encode("cp1252").decode("cp1251")) is not None
+    assert garbled.kind_of("pr�fen") == ("lost", None)
