@@ -286,5 +286,7 @@ RESPONSE_DAYS = Table("days", ("payload", "trip_days[]"), {"day": "day", "summar
 RESPONSE_ITEMS = Table("itinerary_items", ("payload", "trip_days[]", "items[]"), ITEM_FIELDS | {"place": "location"}, bare_fields={"transport": "transport.mode"})
 RESPONSE_GROUPS = Table("groups", ("payload", "groups[]"), {"name": "name"})
 RESPONSE_CHECKS = Table("checklist_items", ("payload", "groups[]", "items[]"), {"text": "text", "priority": "priority", "when_due": "when", "done": "done", "notes": "notes"}, bare="text")
+VALID_DAYS = Table("days", ("trip_days[]",), {"day": "day_no", "summary": "summary"})
+VALID_GROUPS = Table("groups", ("check_groups[]",), {"name": "group_name"})
 VALID_ITEMS = Table("itinerary_items", ("trip_days[]", "items[]"), ITEM_FIELDS | {"place": "place"}, bare_fields={"transport": "transport.mode"})
 VALID_CHECKS = Table("checklist_items", ("check_groups[]", "items[]"), {"text": "text", "priority": "priority", "when_due": "when_due", "done": "done", "notes": "notes"}, bare="text")

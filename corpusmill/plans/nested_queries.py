@@ -8,15 +8,19 @@ from pyspark.sql import functions as F
 from corpusmill import nested
 
 
-def _sources(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+_ITEMS = ((nested.RESPONSE_ITEMS, nested.RESPONSE_CHECKS), (nested.VALID_ITEMS,), (nested.VALID_CHECKS,))
+
+
+def _sources(spark: SparkSession, d: str, tables: tuple[tuple[nested.Table, ...], ...] = _ITEMS) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The rows of the given tables of dataset_v1.response, itinerary_valid and checklist_valid."""
     read = lambda t, *c: spark.read.parquet(f"{d}/{t}.parquet").select(*c)
     data = read("dataset_v1", "id", "response")
     trips = read("itinerary_valid", "record_id", F.to_json(F.struct("trip_days"), {"ignoreNullFields": "false"}).alias("j"))
     checks = read("checklist_valid", "record_id", F.to_json(F.struct("check_groups"), {"ignoreNullFields": "false"}).alias("j"))
     return (
-        nested.grouped(data, "id", F.col("response"), (nested.RESPONSE_ITEMS, nested.RESPONSE_CHECKS)),
-        nested.grouped(trips, "record_id", F.col("j"), (nested.VALID_ITEMS,)),
-        nested.grouped(checks, "record_id", F.col("j"), (nested.VALID_CHECKS,)),
+        nested.grouped(data, "id", F.col("response"), tables[0]),
+        nested.grouped(trips, "record_id", F.col("j"), tables[1]),
+        nested.grouped(checks, "record_id", F.col("j"), tables[2]),
     )
 
 
@@ -39,9 +43,14 @@ def p3_checklist_items(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p3_days(spark: SparkSession, d: str) -> DataFrame:
-    data = spark.read.parquet(f"{d}/dataset_v1.parquet").select("id", "response")
-    return nested.flatten(data, "id", F.col("response"), (nested.RESPONSE_DAYS,))["days"]
+    a, b, _ = _sources(spark, d, ((nested.RESPONSE_DAYS,), (nested.VALID_DAYS,), ()))
+    return nested.pivoted(a, nested.RESPONSE_DAYS).unionByName(nested.pivoted(b, nested.VALID_DAYS))
+
+
+def p3_groups(spark: SparkSession, d: str) -> DataFrame:
+    a, _, c = _sources(spark, d, ((nested.RESPONSE_GROUPS,), (), (nested.VALID_GROUPS,)))
+    return nested.pivoted(a, nested.RESPONSE_GROUPS).withColumnRenamed("groups_no", "outer_no").unionByName(nested.pivoted(c, nested.VALID_GROUPS).withColumnRenamed("check_groups_no", "outer_no"))
 
 
-QUERIES = {"p3_found": p3_found, "p3_itinerary_items": p3_itinerary_items, "p3_checklist_items": p3_checklist_items, "p3_days": p3_days}
+QUERIES = {"p3_found": p3_found, "p3_itinerary_items": p3_itinerary_items, "p3_checklist_items": p3_checklist_items, "p3_days": p3_days, "p3_groups": p3_groups}
 ORACLE: dict[str, str] = {}
