@@ -281,12 +281,14 @@ def flatten(df: DataFrame, id_col: str, json_col: Column, tables: tuple[Table, .
 
 
 #: The shapes of this corpus.
-ITEM_FIELDS = {"time_block": "time_block", "activity": "activity", "mode": "transport.mode", "details": "transport.details", "cost_currency": "cost_estimate.currency", "cost_amount": "cost_estimate.amount"}
+ITEM_FIELDS = {"time_block": "time_block", "activity": "activity", "mode": "transport.mode", "details": "transport.details", "cost_currency": "cost_estimate.currency", "cost_amount": "cost_estimate.amount", "booking_needed": "booking_needed"}
 RESPONSE_DAYS = Table("days", ("payload", "trip_days[]"), {"day": "day", "summary": "summary"})
 RESPONSE_ITEMS = Table("itinerary_items", ("payload", "trip_days[]", "items[]"), ITEM_FIELDS | {"place": "location"}, bare_fields={"transport": "transport.mode"})
 RESPONSE_GROUPS = Table("groups", ("payload", "groups[]"), {"name": "name"})
 RESPONSE_CHECKS = Table("checklist_items", ("payload", "groups[]", "items[]"), {"text": "text", "priority": "priority", "when_due": "when", "done": "done", "notes": "notes"}, bare="text")
+RESPONSE_WARNINGS = Table("warnings", ("payload", "trip_days[]", "items[]", "warnings[]"), {"warning": "warning"}, bare="warning")
 VALID_DAYS = Table("days", ("trip_days[]",), {"day": "day_no", "summary": "summary"})
 VALID_GROUPS = Table("groups", ("check_groups[]",), {"name": "group_name"})
+VALID_WARNINGS = Table("warnings", ("trip_days[]", "items[]", "warnings[]"), {"warning": "warning"}, bare="warning")
 VALID_ITEMS = Table("itinerary_items", ("trip_days[]", "items[]"), ITEM_FIELDS | {"place": "place"}, bare_fields={"transport": "transport.mode"})
 VALID_CHECKS = Table("checklist_items", ("check_groups[]", "items[]"), {"text": "text", "priority": "priority", "when_due": "when_due", "done": "done", "notes": "notes"}, bare="text")

@@ -52,5 +52,11 @@ def p3_groups(spark: SparkSession, d: str) -> DataFrame:
     return nested.pivoted(a, nested.RESPONSE_GROUPS).withColumnRenamed("groups_no", "outer_no").unionByName(nested.pivoted(c, nested.VALID_GROUPS).withColumnRenamed("check_groups_no", "outer_no"))
 
 
-QUERIES = {"p3_found": p3_found, "p3_itinerary_items": p3_itinerary_items, "p3_checklist_items": p3_checklist_items, "p3_days": p3_days, "p3_groups": p3_groups}
+def p3_warnings(spark: SparkSession, d: str) -> DataFrame:
+    """Each warning of an itinerary item, by the record and the places of day, item and warning."""
+    a, b, _ = _sources(spark, d, ((nested.RESPONSE_WARNINGS,), (nested.VALID_WARNINGS,), ()))
+    return nested.pivoted(a, nested.RESPONSE_WARNINGS).unionByName(nested.pivoted(b, nested.VALID_WARNINGS))
+
+
+QUERIES = {"p3_found": p3_found, "p3_itinerary_items": p3_itinerary_items, "p3_checklist_items": p3_checklist_items, "p3_days": p3_days, "p3_groups": p3_groups, "p3_warnings": p3_warnings}
 ORACLE: dict[str, str] = {}

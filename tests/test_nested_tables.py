@@ -41,3 +41,25 @@ def test_groups_of_both_sources(spark):
 def test_items_have_parents(spark):
     assert set(_rows(spark, "p3_checklist_items", "record_id", "outer_no")) <= set(_rows(spark, "p3_groups", "record_id", "outer_no"))
     assert set(_rows(spark, "p3_itinerary_items", "record_id", "trip_days_no")) <= set(_rows(spark, "p3_days", "record_id", "trip_days_no"))
+
+
+def test_item_fields_and_warnings_of_both_sources(spark):
+    item, warning = ("record_id", "trip_days_no", "items_no", "booking_needed"), ("record_id", "trip_days_no", "items_no", "warnings_no", "warning")
+    items, warnings = set(_rows(spark, "p3_itinerary_items", *item)), _rows(spark, "p3_warnings", *warning)
+    table = spark.read.parquet(f"{SMALL}/itinerary_valid.parquet").collect()
+    at = [(r.record_id, k, m, x) for r in table for k, d in enumerate(r.trip_days or ()) for m, x in enumerate(d and d["items"] or ())]
+    valid = {r.record_id for r in table}
+    flag = {True: "true", False: "false", None: None}
+    assert {x for x in items if x[0] in valid} == {(r, k, m, flag[x and x.booking_needed]) for r, k, m, x in at}
+    want = sorted((r, k, m, n, w) for r, k, m, x in at if x for n, w in enumerate(x.warnings or ()))
+    assert want and sorted(x for x in warnings if x[0] in valid) == want
+    assert {x for x in warnings if x[0] not in valid}
+    assert {x[:3] for x in warnings} <= {x[:3] for x in items}
+
+
+def test_warnings_of_any_shape():
+    from corpusmill import nested
+
+    text = '{"payload": {"trip_days": {"items": [{"warnings": ["a", null, "b"]}, {"warnings": "c"}, {"warnings": []}, {"warnings": null}]}}}'
+    rows = [(at, row.get("warning")) for _, at, row in nested.rows_of(text, (nested.RESPONSE_WARNINGS,))]
+    assert rows == [((0, 0, 0), "a"), ((0, 0, 1), None), ((0, 0, 2), "b"), ((0, 1, 0), "c")]
