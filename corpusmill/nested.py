@@ -115,7 +115,7 @@ class Table:
 
 
 def _looks_like(text: str) -> bool:
-    return text[:64].lstrip(" \t\n\r")[:1] == "{"
+    return text.startswith("{", _SPACE(text, 0).end())
 
 
 def triples(text: str, lists: frozenset[tuple[str, ...]], objects: frozenset[tuple[str, ...]]) -> list[tuple[tuple[str, ...], tuple[int, ...], object]]:

@@ -63,3 +63,13 @@ def test_warnings_of_any_shape():
     text = '{"payload": {"trip_days": {"items": [{"warnings": ["a", null, "b"]}, {"warnings": "c"}, {"warnings": []}, {"warnings": null}]}}}'
     rows = [(at, row.get("warning")) for _, at, row in nested.rows_of(text, (nested.RESPONSE_WARNINGS,))]
     assert rows == [((0, 0, 0), "a"), ((0, 0, 1), None), ((0, 0, 2), "b"), ((0, 1, 0), "c")]
+
+
+def test_json_text_after_much_white_space():
+    import json
+
+    from corpusmill import nested
+
+    for blanks in (0, 63, 64, 500):
+        text = json.dumps({"payload": " \n" * blanks + '{"groups": [{"items": [{"text": "pack"}]}]}'})
+        assert [row for *_, row in nested.rows_of(text, (nested.RESPONSE_CHECKS,))] == [{"text": "pack"}]
