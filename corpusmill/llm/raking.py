@@ -12,6 +12,7 @@ ranked, so a cell with a third of all rows is never gathered in one task.
 from __future__ import annotations
 
 import math
+from itertools import product
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window
@@ -22,8 +23,6 @@ from corpusmill.session import cut
 #: Value of a null label, by dimension; any other dimension has "unknown".
 DEFAULTS = {"difficulty": "medium"}
 OTHER = "\0other"
-#: Of so many cells on either side, the best move of draws is looked for at once.
-PAIRS = 512
 
 
 def label(c: Column, dim: str) -> Column:
@@ -54,6 +53,37 @@ def rake(counts: np.ndarray, margins: list[tuple[np.ndarray, np.ndarray]], size:
     return w
 
 
+def best_move(whiches: list[np.ndarray], up: list[np.ndarray], down: list[np.ndarray], to: np.ndarray, of: np.ndarray) -> tuple[float, int, int]:
+    """(gain, receiving cell, giving cell) of the best move among all pairs of cells of the masks ``to`` and ``of``.
+
+    Only the dimensions in which the two cells differ count. The gap is convex, so what a shared dimension would add
+    (up + down of one value) is never above zero: for each set of dimensions taken as shared, the best receiver and giver
+    of each combination of values there give a bound from below on that pair's gain, met where exactly these are shared.
+    """
+    best = (0.0, -1, -1)
+    into, out = np.flatnonzero(to), np.flatnonzero(of)
+    if not len(into) or not len(out):
+        return best
+    for shared in product((False, True), repeat=len(whiches)):
+        if all(shared):
+            continue
+        group = np.zeros(len(to), dtype=np.int64)
+        for which, s in zip(whiches, shared):
+            if s:
+                group = np.unique(group * (which.max() + 1) + which, return_inverse=True)[1]
+        gain = sum(u for u, s in zip(up, shared) if not s)
+        loss = sum(d for d, s in zip(down, shared) if not s)
+        first, second = np.full(group.max() + 1, -np.inf), np.full(group.max() + 1, -np.inf)
+        np.maximum.at(first, group[into], gain[into])
+        np.maximum.at(second, group[out], loss[out])
+        g = int((first + second).argmax())
+        if first[g] + second[g] > best[0]:
+            i = into[(group[into] == g) & (gain[into] == first[g])][0]
+            j = out[(group[out] == g) & (loss[out] == second[g])][0]
+            best = (float(first[g] + second[g]), int(i), int(j))
+    return best
+
+
 def quotas(counts: np.ndarray, margins: list[tuple[np.ndarray, np.ndarray]], least: list[np.ndarray], size: int) -> np.ndarray:
     """Whole draws of each cell: the raked ones rounded by largest remainder, then moved between cells until every
     minimum that the pool can meet is met and no move of one draw brings the margins closer to their targets."""
@@ -75,19 +105,17 @@ def quotas(counts: np.ndarray, margins: list[tuple[np.ndarray, np.ndarray]], lea
     while step:
         up, down = [], []
         for (which, want), have, low in zip(margins, now, floor):
-            gap = lambda x: np.abs(x - want) + 1e6 * np.maximum(0, low - x)  # noqa: E731, B023
-            up.append((gap(have) - gap(have + step))[which])
-            down.append((gap(have) - gap(have - step))[which])
-        to = np.argsort(-np.where(q + step <= counts, sum(up), -np.inf), kind="stable")[:PAIRS]
-        of = np.argsort(-np.where(q >= step, sum(down), -np.inf), kind="stable")[:PAIRS]
-        to, of = to[q[to] + step <= counts[to]], of[q[of] >= step]
-        total = sum((which[to][:, None] != which[of][None, :]) * (u[to][:, None] + d[of][None, :]) for (which, _), u, d in zip(margins, up, down))
-        if not total.size or total.max() <= 1e-9:
+            # Differences before weights: a large penalty must not round away a small gap.
+            less = lambda x: np.abs(have - want) - np.abs(x - want) + 1e6 * (np.maximum(0, low - have) - np.maximum(0, low - x))  # noqa: E731, B023
+            up.append(less(have + step)[which])
+            down.append(less(have - step)[which])
+        move, i, j = best_move([which for which, _ in margins], up, down, q + step <= counts, q >= step)
+        # The move's own gain, without the dimensions its cells share: rounding must not keep the search going.
+        if move <= 1e-9 or sum((which[i] != which[j]) * (u[i] + d[j]) for (which, _), u, d in zip(margins, up, down)) <= 1e-9:
             step //= 4 if step > 3 else 2
             continue
-        i, j = (x[0] for x in np.unravel_index([int(total.argmax())], total.shape))
-        q[to[i]] += step
-        q[of[j]] -= step
+        q[i] += step
+        q[j] -= step
         now = [np.bincount(which, q, len(want)).astype(float) for which, want in margins]
     return q
 

@@ -1,0 +1,37 @@
+"""Problem 2: no move of one draw that brings the margins closer is left, however many cells there are."""
+
+import numpy as np
+
+from corpusmill.llm import raking
+
+
+def _left(counts, margins, least, q):
+    """The gain of the best move of one draw, over all pairs of cells."""
+    best = 0.0
+    up, down = [], []
+    for (which, want), low in zip(margins, least):
+        low, have = np.minimum(np.ceil(low), np.bincount(which, counts, len(low))), np.bincount(which, q, len(want)).astype(float)
+        gap = lambda x: np.abs(x - want) + 1e6 * np.maximum(0, low - x)  # noqa: E731, B023
+        up.append(gap(have) - gap(have + 1))
+        down.append(gap(have) - gap(have - 1))
+    of = np.flatnonzero(q > 0)
+    for i in np.flatnonzero(q < counts):
+        best = max(best, sum((w[i] != w[of]) * (u[w[i]] + d[w[of]]) for (w, _), u, d in zip(margins, up, down)).max(initial=0))
+    return best
+
+
+def test_no_improving_move_is_left_beyond_512_cells():
+    for seed in (1, 3, 6):
+        r, k = np.random.default_rng(seed), 14
+        counts = np.where(r.random(k**3) < 0.6, r.integers(1, 4, k**3), 0)
+        cells = np.array(np.unravel_index(np.arange(k**3), (k, k, k)))[:, counts > 0]
+        counts = counts[counts > 0]
+        size = int(counts.sum() // 3)
+        margins, least = [], []
+        for d in range(3):
+            want = r.dirichlet(np.ones(k) * 0.4) * size
+            margins.append((cells[d], want))
+            least.append(np.where(r.random(k) < 0.4, want * 1.2 + 3, 0).astype(int))
+        q = raking.quotas(counts, margins, least, size)
+        assert q.sum() == size and (q >= 0).all() and (q <= counts).all()
+        assert _left(counts, margins, least, q) <= 1e-6
