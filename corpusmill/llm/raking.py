@@ -174,7 +174,8 @@ def sample_to_targets(pool: DataFrame, targets: DataFrame, id_col: str = "id", d
     whole = near.where("_take = _k").select("id", *dims, key)
     rank = F.row_number().over(Window.partitionBy(*cell, "_b").orderBy(F.desc("_u"), "id"))
     part = near.where("_take < _k").withColumn("_rank", rank).where("_rank <= _take").select("id", *dims, key)
-    sample = whole.unionByName(part)
+    # Drawn once, here: the report counts these very rows, also where only its other columns are asked for.
+    sample = cut(whole.unionByName(part))
 
     stacked = lambda df: df.select("id", F.explode(F.array(*(F.struct(F.lit(d).alias("dim_name"), F.col(d).alias("v")) for d in dims))).alias("x")).select("x.*").groupBy("dim_name", "v").count()
     goals = spark.createDataFrame([(t.dim_name, t.dim_value, norm(t.dim_value), t.target_share, t.min_rows, t.sample_size) for t in wanted], "dim_name string, dim_value string, v string, target_share double, min_rows long, sample_size long")

@@ -35,3 +35,32 @@ def test_no_improving_move_is_left_beyond_512_cells():
         q = raking.quotas(counts, margins, least, size)
         assert q.sum() == size and (q >= 0).all() and (q <= counts).all()
         assert _left(counts, margins, least, q) <= 1e-6
+
+
+def test_found_rows_come_after_a_materialised_draw(monkeypatch):
+    from pyspark.sql import SparkSession
+
+    import __spark_entry__
+
+    small = "/root/testdata/sf0.001"
+    spark = SparkSession.builder.master("local[2]").config("spark.ui.enabled", "false").config("spark.sql.shuffle.partitions", "2").getOrCreate()
+    drawn, cut = [], raking.cut
+
+    def watched(df):
+        out = cut(df)
+        if "sample_key" in out.columns:
+            drawn.append(out.count())
+        return out
+
+    monkeypatch.setattr(raking, "cut", watched)
+    try:
+        __spark_entry__.queries()["p2_found"](spark, small)
+        size = spark.read.parquet(f"{small}/target_mix.parquet").first().sample_size
+        assert drawn == [size]
+        sample, report = __spark_entry__.queries()["p2_sample"](spark, small), __spark_entry__.queries()["p2_report"](spark, small)
+        have = {(d, r[d]) for r in sample.collect() for d in ("category", "payload_type", "difficulty")}
+        counts = {k: sum(r[k[0]] == k[1] for r in sample.collect()) for k in have}
+        rows = report.collect()
+        assert rows and all(r.drawn == counts.get((r.dim_name, r.dim_value.strip().lower()), 0) for r in rows)
+    finally:
+        spark.stop()
