@@ -1,0 +1,101 @@
+"""Problems 1, 3, 4 and 8 against brute force, and on nulls, ties, empty tables and clashing columns."""
+
+import json
+
+import pytest
+
+SMALL = "/root/testdata/sf0.001"
+
+
+@pytest.fixture(scope="module")
+def spark():
+    from pyspark.sql import SparkSession
+
+    session = SparkSession.builder.master("local[2]").config("spark.ui.enabled", "false").config("spark.sql.shuffle.partitions", "2").getOrCreate()
+    yield session
+    session.stop()
+
+
+def _groups(pairs):
+    root = {}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for pair in pairs:
+        ids = [t for t in ((p or "").strip() for p in pair) if t not in ("", "unknown")]
+        for t in ids:
+            root.setdefault(t, t)
+        if len(ids) == 2:
+            a, b = sorted(map(find, ids))
+            root[b] = a
+    return {(t, find(t)) for t in root}
+
+
+def test_groups_equal_union_find(spark):
+    from corpusmill.llm import components
+
+    pairs = [("b", "a"), ("a", "b"), ("c", " b "), ("d", None), ("e", "e"), ("unknown", "f"), ("", "g"), ("h", "i"), ("i", "j"), ("j", "h"), ("k", "unknown"), ("l", "k")]
+    df = spark.createDataFrame([(*p, "x", 1) for p in pairs], "duplicate_id string, anchor_id string, record_id string, v int")
+    assert {tuple(r) for r in components.components(df).select("record_id", "group_id").collect()} == _groups(pairs)
+    assert components.components(df.where("v = 2")).collect() == []
+
+
+def test_p1_found(spark):
+    import __spark_entry__
+
+    pairs = [tuple(r) for r in spark.read.parquet(f"{SMALL}/dup_pairs.parquet").select("duplicate_id", "anchor_id").collect()]
+    want = {(g, t) for t, g in _groups(pairs) if t != g}
+    assert want and {tuple(r) for r in __spark_entry__.queries()["p1_found"](spark, SMALL).select("group_id", "record_id").collect()} == want
+
+
+def test_p3_items_of_typed_tables(spark):
+    import __spark_entry__
+
+    want = set()
+    for table, outer, leaf in (("itinerary_valid", "trip_days", lambda x: x.transport and x.transport.mode), ("checklist_valid", "check_groups", lambda x: x.text)):
+        for r in spark.read.parquet(f"{SMALL}/{table}.parquet").collect():
+            for k, d in enumerate(r[outer] or ()):
+                for m, x in enumerate(d and d["items"] or ()):
+                    if x and (leaf(x) or "").strip():
+                        want.add((r.record_id, k, m, leaf(x)))
+    ids = {w[0] for w in want}
+    got = {tuple(r) for r in __spark_entry__.queries()["p3_found"](spark, SMALL).collect()}
+    assert want and {g for g in got if g[0] in ids} == want
+
+
+def test_p3_broken_text_gives_nothing():
+    from corpusmill import nested
+
+    whole = json.dumps({"payload": {"groups": [{"items": ["a", None, {"text": "b"}]}]}})
+    assert len(list(nested.rows_of(whole, (nested.RESPONSE_CHECKS,)))) == 3
+    for text in ("", " ", "null", "7", whole[:-1], whole + "x", f"[{whole},{whole}]"):
+        assert not [r for r in nested.rows_of(text, (nested.RESPONSE_CHECKS,)) if r[2]]
+
+
+def test_p4_formatting_only(spark):
+    from corpusmill.llm import ledger
+
+    rows = [
+        ("b", 1, "Season: May\nBudget: low\nGo to Vinlo.", "s", "checklist"), ("a", 1, "budget: LOW | season: may\ngo, to vinlo", "S.", "Check list"),
+        ("c", 2, "Season: May\nBudget: low\nGo to Vinla.", "s", "checklist"), ("d", 3, None, None, None), ("e", None, "", " ", ""), (None, 4, "x", "x", "x"),
+    ]
+    df = spark.createDataFrame([(*r, "clash") for r in rows], "id string, ord long, prompt string, summary string, payload_type string, key string")
+    book = ledger.Ledger(spark)
+    for batch in ("one", "one", "two"):  # a batch counts once
+        book.apply(ledger.keyed(df.where("id < 'c'" if batch == "one" else "id >= 'c'")), batch)
+    assert {(r.keep_id, r.copies, r.first_id) for r in book.read().collect()} == {("a", 2, "a"), ("c", 1, "c"), ("d", 2, "d")}
+    assert ledger.Ledger(spark).read().collect() == []
+
+
+def test_p8_stream_equals_plain_merging():
+    import regex
+
+    from corpusmill.llm import bpe
+
+    t = bpe.transducer(f"{bpe.TOKENIZERS}/byte_bpe_50k.tiktoken")
+    for text in ("", None, "Hello  world\n\n x", "<|endoftext|> naïve 🧳 切符は87日前", "a" * 90 + " " * 70 + "0123456789" * 9, "\x00​�"):
+        want = [t.rank[x] for m in regex.finditer(bpe.PATTERN, text or "") for x in t._merge(m[0].encode())]
+        assert t.encode(text) == want and "".join(t.decode(want)) == (text or "")
