@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusmill.llm import bpe, components, garbled, leaks, ledger, overlap, raking
+from corpusmill.llm import bpe, components, garbled, leaks, ledger, overlap, raking, truncation
 
 
 def _read(spark: SparkSession, d: str, table: str) -> DataFrame:
@@ -76,6 +76,26 @@ def p4_ledger(spark: SparkSession, d: str) -> DataFrame:
     return _ledger(spark, d)[0].select("keep_id", "copies", "first_id")
 
 
+# Problem 5 -----------------------------------------------------------------------------------------------------------
+
+
+def _cut(spark: SparkSession, d: str) -> DataFrame:
+    drafts = _read(spark, d, "drafts_v1").select("id", "output_text", F.col("teacher.selected_model").alias("source"))
+    return truncation.truncated(drafts)
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return _cut(spark, d).where("cut").select("id").distinct()
+
+
+def p5_rates(spark: SparkSession, d: str) -> DataFrame:
+    """source, drafts, cut, rate and the length most cut drafts of the source have; a draft delivered twice counts once."""
+    once = _cut(spark, d).distinct()
+    lengths = once.where("cut").groupBy("source", "chars").agg(F.count("*").alias("k")).groupBy("source").agg(F.max_by("chars", F.struct("k", "chars")).alias("usual_length"))
+    rates = once.groupBy("source").agg(F.count("*").alias("drafts"), F.count_if("cut").alias("cut"), F.avg(F.col("cut").cast("int")).alias("rate"))
+    return rates.join(lengths.withColumnRenamed("source", "_s"), F.col("source").eqNullSafe(F.col("_s")), "left").drop("_s")
+
+
 # Problem 6 -----------------------------------------------------------------------------------------------------------
 
 
@@ -126,7 +146,7 @@ def p10_restored(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {
     "p1_found": p1_found, "p1_group_sizes": p1_group_sizes, "p2_found": p2_found, "p2_report": p2_report, "p2_sample": p2_sample,
-    "p4_found": p4_found, "p4_ledger": p4_ledger, "p6_found": p6_found, "p6_by_split": p6_by_split, "p8_ids": p8_ids, "p8_round_trip": p8_round_trip, "p9_found": p9_found,
+    "p4_found": p4_found, "p4_ledger": p4_ledger, "p5_found": p5_found, "p5_rates": p5_rates, "p6_found": p6_found, "p6_by_split": p6_by_split, "p8_ids": p8_ids, "p8_round_trip": p8_round_trip, "p9_found": p9_found,
     "p10_found": p10_found, "p10_restored": p10_restored,
 }
 ORACLE = {"p2_found": P2_FOUND_SQL, "p8_round_trip": "select doc_id, coalesce(text, '') as text from documents"}
