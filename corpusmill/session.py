@@ -56,17 +56,21 @@ def drop(*tables: DataFrame | None) -> None:
             p.getFileSystem(t.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
-def join_hot(big: DataFrame, small: DataFrame, key: str, weight: str, how: str = "inner", parts: int = 512) -> DataFrame:
+def join_hot(big: DataFrame, small: DataFrame, key: str, weight: str, how: str = "inner", parts: int = 512, few: int = 100_000) -> DataFrame:
     """Join ``big`` with ``small`` (one row a key), whatever share of big one key holds.
 
     ``weight`` is a column of small: how many rows of big have the key. A key with more than a ``parts``-th of all rows
     is hot, so there are fewer than ``parts`` of them: their rows of small are broadcast and their rows of big stay where
-    they are. All others are joined by a shuffle, none of whose keys can exceed that share. Null keys match nothing.
+    they are. All others are joined by a shuffle, none of whose keys can exceed that share. ``few`` rows of one key are
+    no burden to any task: where no key has more, the plan is a plain join. Null keys match nothing.
     """
-    total = small.agg(F.sum(weight)).first()[0] or 0
+    total, most = small.agg(F.sum(weight), F.max(weight)).first()
+    least = max((total or 0) / parts, few)
     small_cols = [c for c in small.columns if c not in (key, weight)]
-    hot = small.where(F.col(weight) > max(total / parts, 1)).select(key, F.lit(True).alias("_hot"), *small_cols)
-    rest = small.where(~(F.col(weight) > max(total / parts, 1)) | F.col(weight).isNull()).select(key, *small_cols)
+    if (most or 0) <= least:
+        return big.join(small.select(key, *small_cols), key, how).select(*big.columns, *small_cols)
+    hot = small.where(F.col(weight) > least).select(key, F.lit(True).alias("_hot"), *small_cols)
+    rest = small.where((F.col(weight) <= least) | F.col(weight).isNull()).select(key, *small_cols)
     marked = big.join(F.broadcast(hot.withColumnsRenamed({c: f"_hot_{c}" for c in small_cols})), key, "left")
     cols = [*big.columns, *(f"_hot_{c}" for c in small_cols)]
     at_once = marked.where("_hot").select(*cols).toDF(*big.columns, *small_cols)
