@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusmill.llm import bpe, components, garbled, leaks, ledger, overlap, raking, truncation
+from corpusmill.llm import bpe, components, defects, garbled, leaks, ledger, overlap, raking, truncation
 
 
 def _read(spark: SparkSession, d: str, table: str) -> DataFrame:
@@ -115,6 +115,20 @@ def p6_by_split(spark: SparkSession, d: str) -> DataFrame:
     return found.groupBy("split_version", "split", "source").agg(F.count("*").alias("leaked")).join(claim, "split_version", "left")
 
 
+# Problem 7 -----------------------------------------------------------------------------------------------------------
+
+
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    data, drafts = _read(spark, d, "dataset_v1"), _read(spark, d, "drafts_v1")
+    pairs = defects.pairs_of(("dataset_v1", data, "prompt", F.col("response"), F.col("source")), ("drafts_v1", drafts, "prompt", F.col("output_text"), F.col("teacher.selected_model")))
+    return defects.defects(pairs, _read(spark, d, "documents").select("text", "lang"))
+
+
+def p7_rates(spark: SparkSession, d: str) -> DataFrame:
+    """table_name, defect, pairs: how many ids of each table have each defect."""
+    return p7_found(spark, d).groupBy("table_name", "defect").agg(F.countDistinct("id").alias("pairs"))
+
+
 # Problem 8 -----------------------------------------------------------------------------------------------------------
 
 
@@ -146,7 +160,7 @@ def p10_restored(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {
     "p1_found": p1_found, "p1_group_sizes": p1_group_sizes, "p2_found": p2_found, "p2_report": p2_report, "p2_sample": p2_sample,
-    "p4_found": p4_found, "p4_ledger": p4_ledger, "p5_found": p5_found, "p5_rates": p5_rates, "p6_found": p6_found, "p6_by_split": p6_by_split, "p8_ids": p8_ids, "p8_round_trip": p8_round_trip, "p9_found": p9_found,
+    "p4_found": p4_found, "p4_ledger": p4_ledger, "p5_found": p5_found, "p5_rates": p5_rates, "p6_found": p6_found, "p6_by_split": p6_by_split, "p7_found": p7_found, "p7_rates": p7_rates, "p8_ids": p8_ids, "p8_round_trip": p8_round_trip, "p9_found": p9_found,
     "p10_found": p10_found, "p10_restored": p10_restored,
 }
 ORACLE = {"p2_found": P2_FOUND_SQL, "p8_round_trip": "select doc_id, coalesce(text, '') as text from documents"}
