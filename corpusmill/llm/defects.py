@@ -26,7 +26,13 @@ from corpusmill.llm import truncation
 
 #: Bounds of the training sample: pairs, labelled texts a language, and the characters of a text that are learnt from.
 SAMPLE, TEXTS, LEARNT = 1500, 150, 20_000
+#: Raw pairs teach what whole answers are. Those of fewer characters may well be refusals themselves, so none is taken;
+#: short whole answers are made from single sentences of the others.
+BRIEF = 300
 BITS = 16
+#: Step of the fit; what F1 a threshold may lose for more recall where an exact check follows; decay of the weights of
+#: the n-grams (strong: only what many examples share is to count).
+RATE, SLACK, DECAY = 0.8, 0.002, 0.3
 LABELS = ("empty", "truncated", "refusal", "copy", "language")
 
 #: English names of languages, as a prompt may ask for one.
@@ -35,7 +41,7 @@ _ASKED = re.compile(r"\b(?:answer|reply|respond|write|written|translate)\b[^.!?\
 
 _CJK = "\u3040-\u30ff\u4e00-\u9fff\uac00-\ud7a3"
 _TOKEN = re.compile(rf"[{_CJK}]|[^\W\d_{_CJK}]+")
-_VALUE = re.compile(r'(?:"([^"\\]{1,64})"\s*:\s*)?"((?:[^"\\]|\\.)*)(?:"(?!\s*:)|\Z)', re.S)
+_STRING = re.compile(r'"((?:[^"\\]|\\.)*)(?:"|\Z)\s*(:?)', re.S)
 _FENCE = re.compile(r"```\w*|~~~\w*")
 _ESCAPE = re.compile(r'\\(?:u([0-9a-fA-F]{4})|(.))', re.S)
 #: Keys whose values say what an answer is, not what it says.
@@ -61,7 +67,11 @@ def said(answer: str) -> str:
     text = _FENCE.sub(" ", answer or "")
     at = text.find("{")
     if at >= 0 and ('":' in text or '" :' in text or not text[:at].strip() and not text.rstrip()[at + 1 :].strip(" \n\t}")):
-        values = [v for k, v in _VALUE.findall(text[at:]) if k not in SHAPE_KEYS]
+        values, key = [], None
+        for v, named in _STRING.findall(text, at):
+            if not named and key not in SHAPE_KEYS:
+                values.append(v)
+            key = v if named else None
         text = text[:at] + "\n" + "\n".join(_ESCAPE.sub(lambda m: chr(int(m[1], 16)) if m[1] else " " if m[2] in "nrtbf" else m[2], v) if "\\" in v else v for v in values)
     return "" if text.strip() in ("null", "None", "[]", "{}") else text
 
@@ -225,17 +235,23 @@ def make_examples(pairs: list[tuple[str, str]], model: Model, seed: int = 7) ->
         if len(a) > 80:
             k = r.randrange(len(a) // 6, len(a) - 12)
             out.append((p, a[:k] + r.choice(["", "", "", "", "\n```", "…", "...", " [cut]", "\ufffd"]), 1))
-        out.append((p, wrap(_refusal(r, (lang[i] if r.random() < 0.6 else None) or "en")), 2))
+        out.append((p, wrap(_refusal(r, r.choice([lang[i] or "en", "en", r.choice(list(_SORRY))]))), 2))
         if len(p) > 20:
             form = r.choice([str, str.lower, lambda t: re.sub(r"\s+", " ", t), lambda t: f'"{t}"', str.upper])
             out.append((p, wrap(form(p)), 3))
-        others = [l for l in by_lang if l and l != lang[i]]
-        if lang[i] and others and not _ASKED.search(p):
-            out.append((p, pairs[r.choice(by_lang[r.choice(others)])][1], 4))
+        asked = LANGUAGES[m[-1].lower()] if (m := _ASKED.findall(p)) else lang[i]
+        others = [l for l in by_lang if l and l != asked]
+        if lang[i] and others:
+            other = pairs[r.choice(by_lang[r.choice(others)])][1]
+            some = re.findall(r"[^.!?。\n]{12,}[.!?。]", said(other))
+            if some and r.random() < 0.35:  # short ones too
+                other = " ".join(t.strip() for t in some[: r.randrange(1, 4)])
+            out.append((p, other, 4))
         if r.random() < 0.4:
             out.append((p, wrap(r.choice(["", " ", "\n\n", "null", "{}", "```json\n```", "[]", "-", "..."])), 0))
-        first = re.split(r"(?<=[.!?。])\s*", said(a).strip())[0]
-        if r.random() < 0.5 and first and "\n" not in first:
+        whole = [t for t in re.split(r"(?<=[.!?。])\s+|\n", said(a).strip())[:-1] if len(t) > 3]
+        if whole:
+            first = r.choice(whole)
             out.append((p, wrap(first) if r.random() < 0.3 else first, -1))
     return out
 
@@ -245,7 +261,7 @@ def ends_of(tails: DataFrame) -> list[Column]:
     return [(F.col("json") == 2).cast("double").alias("json_open"), (F.col("noted") & ~F.col("closed")).cast("double").alias("noted"), (truncation.unknown_prefix() & ~F.col("closed")).cast("double").alias("inside_word"), F.coalesce(truncation.cut_off(), F.lit(False)).cast("double").alias("cut")]
 
 
-def fit(model: Model, examples: list[tuple[str, str, int]], ends: np.ndarray, rounds: int = 60) -> None:
+def fit(model: Model, examples: list[tuple[str, str, int]], ends: np.ndarray, rounds: int = 40) -> None:
     """Logistic regression of each label, by full-batch AdaGrad; the raw pairs that the first fit takes for defective are
     left out of the second. Every third example is held out, and each threshold is the one of best F1 on these."""
     dense, at, owner, _ = model.features([e[0] for e in examples], [e[1] for e in examples])
@@ -269,12 +285,12 @@ def fit(model: Model, examples: list[tuple[str, str, int]], ends: np.ndarray, ro
             for c in range(len(LABELS)):
                 z = np.bincount(ow, w[pr, c], n) * scale + x @ d[:, c]
                 err = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y[:, c]) * train
-                g = np.bincount(pr, (err * scale)[ow], len(used)) + 1e-3 * w[:, c]
+                g = np.bincount(pr, (err * scale)[ow], len(used)) + DECAY * w[:, c]
                 gw[:, c] += g * g
-                w[:, c] -= 0.3 * g / np.sqrt(gw[:, c])
+                w[:, c] -= RATE * g / np.sqrt(gw[:, c])
                 g = x.T @ err + 1e-3 * d[:, c]
                 gd[:, c] += g * g
-                d[:, c] -= 0.3 * g / np.sqrt(gd[:, c])
+                d[:, c] -= RATE * g / np.sqrt(gd[:, c])
         z = np.stack([np.bincount(owner, w[packed, c], n) * scale for c in range(len(LABELS))], axis=1) + x @ d
         raw = np.array([e[2] < 0 for e in examples])
         keep = ~(raw & (z.max(1) > 0))
@@ -283,8 +299,9 @@ def fit(model: Model, examples: list[tuple[str, str, int]], ends: np.ndarray, ro
         zs, ys = z[held & keep, c], y[held & keep, c]
         tries = np.linspace(-2, 4, 61)
         f1 = [2 * ((zs > t) & (ys > 0)).sum() / max((zs > t).sum() + ys.sum(), 1) for t in tries]
-        good = np.flatnonzero(np.array(f1) >= max(f1) - 1e-9)
-        model.threshold[c] = tries[good[len(good) // 2]]
+        checked = LABELS[c] != "refusal"
+        good = np.flatnonzero(np.array(f1) >= max(f1) - (SLACK if checked else 1e-9))
+        model.threshold[c] = tries[good[0 if checked else len(good) // 2]]
 
 
 def pairs_of(*tables: tuple[str, DataFrame, str, Column, Column]) -> DataFrame:
@@ -316,7 +333,7 @@ def defects(pairs: DataFrame, labelled: DataFrame, seed: int = 7) -> DataFrame:
     texts = [(r.text, r.lang) for r in picked.collect()]  # at most TEXTS a language
     sizes = {l: sum(x == l for _, x in texts) for _, l in texts}
     model = fit_languages([t for t in texts if sizes[t[1]] >= min(20, TEXTS // 2)])
-    sample = pairs.select(F.substring("prompt", 1, LEARNT).alias("prompt"), F.substring("answer", 1, LEARNT).alias("answer"), "h").where("length(answer) > 20").orderBy(F.xxhash64("h"), "h").limit(SAMPLE)
+    sample = pairs.select(F.substring("prompt", 1, LEARNT).alias("prompt"), F.substring("answer", 1, LEARNT).alias("answer"), "h").where(f"length(answer) > {BRIEF}").orderBy(F.xxhash64("h"), "h").limit(SAMPLE)
     rows = [(r.prompt or "", r.answer) for r in sample.collect()]
     schema = "table_name string, id string, defect string"
     if not rows:
