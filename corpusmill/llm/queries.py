@@ -144,7 +144,14 @@ def p8_round_trip(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
-    return leaks.leaked(_read(spark, d, "documents"), _read(spark, d, "heldout_items"))
+    """Windows that are the item's own words: an exact check after the similar ones were found."""
+    return leaks.leaked(_read(spark, d, "documents"), _read(spark, d, "heldout_items")).where("similarity = 1").select("doc_id", "item_id")
+
+
+def p9_items(spark: SparkSession, d: str) -> DataFrame:
+    """item_id, documents with a passage of it, and documents with a similar passage only."""
+    found = leaks.leaked(_read(spark, d, "documents"), _read(spark, d, "heldout_items"))
+    return found.groupBy("item_id").agg(F.count_if(F.col("similarity") == 1).alias("leaked"), F.count_if(F.col("similarity") < 1).alias("similar"))
 
 
 # Problem 10 ----------------------------------------------------------------------------------------------------------
@@ -160,7 +167,7 @@ def p10_restored(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {
     "p1_found": p1_found, "p1_group_sizes": p1_group_sizes, "p2_found": p2_found, "p2_report": p2_report, "p2_sample": p2_sample,
-    "p4_found": p4_found, "p4_ledger": p4_ledger, "p5_found": p5_found, "p5_rates": p5_rates, "p6_found": p6_found, "p6_by_split": p6_by_split, "p7_found": p7_found, "p7_rates": p7_rates, "p8_ids": p8_ids, "p8_round_trip": p8_round_trip, "p9_found": p9_found,
+    "p4_found": p4_found, "p4_ledger": p4_ledger, "p5_found": p5_found, "p5_rates": p5_rates, "p6_found": p6_found, "p6_by_split": p6_by_split, "p7_found": p7_found, "p7_rates": p7_rates, "p8_ids": p8_ids, "p8_round_trip": p8_round_trip, "p9_found": p9_found, "p9_items": p9_items,
     "p10_found": p10_found, "p10_restored": p10_restored,
 }
 ORACLE = {"p2_found": P2_FOUND_SQL, "p8_round_trip": "select doc_id, coalesce(text, '') as text from documents"}
