@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from corpusmill.session import drop, staged
 
 #: Words a script is learnt from, at most, and the buckets of the words' hashes they are chosen by.
-WORDS = 4000
+WORDS = 2000
 BITS = 15
 
 #: What text is mistaken for. (written in, read in); the reader's undefined bytes become U+FFFD or, as many
@@ -168,13 +168,19 @@ def fit(words: dict[str, int], chains: tuple[tuple[str, ...], ...] = CHAINS, sur
     class of few examples doesn't draw what no class knows. The words of the corpus hold garbled ones themselves: those
     the first fit takes for garbled are left out of the second."""
     kept = {w: n**0.5 for w, n in sorted(words.items())}
+    names, weight = list(kept), np.array(list(kept.values()))
+    # The bigrams of every word along every chain, once: (buckets, numbers of the words).
+    along = []
+    for chain in ((), *chains):
+        made = [(i, _grams(g)) for i, w in enumerate(names) if (g := garble(w, chain)) is not None and (not chain or g != w and not g.isascii() and "\ufffd" not in g)]
+        along.append((np.concatenate([g for _, g in made] or [np.zeros(0, dtype=np.int64)]), np.repeat([i for i, _ in made], [len(g) for _, g in made]).astype(int)))
     while True:
         counts = np.zeros((2**BITS, len(chains) + 1))
-        for k, chain in enumerate(((), *chains)):
-            made = [(g, n) for w, n in kept.items() if (g := garble(w, chain)) is not None and (not chain or g != w and not g.isascii() and "\ufffd" not in g)]
-            if len(made) >= LEAST or not chain and made:
-                grams = [_grams(g) for g, _ in made]
-                counts[:, k] += np.bincount(np.concatenate(grams), np.repeat([n for _, n in made], [len(g) for g in grams]), 2**BITS)
+        on = np.array([w in kept for w in names], dtype=bool)
+        for k, (grams, of) in enumerate(along):
+            used = on[of]
+            if not k or len(np.unique(of[used])) >= LEAST:
+                counts[:, k] = np.bincount(grams[used], weight[of[used]], 2**BITS)
         total = counts.sum(0)
         share = counts / np.maximum(total, 1)
         ground = (share.sum(1, keepdims=True) + 1e-3 / 2**BITS) / (np.count_nonzero(total) + 1e-3)
@@ -182,7 +188,7 @@ def fit(words: dict[str, int], chains: tuple[tuple[str, ...], ...] = CHAINS, sur
         logp[:, 1:][:, total[1:] == 0] = -40.0
         table = logp.astype(np.float32)
         strict = Classifier(table, -99.0, chains, SUSPECT, alone)
-        left = {w: n for w, n in kept.items() if not _proven(w, *strict.judge(w), chains)}
+        left = {w: n for w, n in kept.items() if "\ufffd" not in w and (sum(c > "\x7f" for c in w) < 2 or not _proven(w, *strict.judge(w), chains))}
         if len(left) == len(kept):
             # No chain is read into a word without inversion unless it is less fluent than nearly all words.
             floor = np.quantile([strict.fluency(w) for w in kept], 0.02) if kept else -99.0
