@@ -1,8 +1,8 @@
-"""corpusmill: Spark operators for the training-data problems 1 to 4, 6 and 8 to 10 of TESTDATA.md.
+"""corpusmill: Spark operators for building, cleaning, splitting and evaluating instruction corpora.
 
-The aim is an engine for building, cleaning, splitting and evaluating instruction corpora. Of that the operators of
-SURVEY 7.6 and the pipeline of stages are not built (operators/, functions/, sources/ and streaming/ are empty), nor are
-problems 5 and 7; the README lists what is missing by name.
+functions: columns for text, keys, JSON and schemas. operators: tables in, tables out (duplicates, groups, splits, quality,
+balance, statistics, evaluation, export, generators, reports). sources: JSON lines. nested: nested records as flat tables.
+boundary: models and services behind a client. llm: operators for training data, which nothing here imports.
 """
 
-__version__ = "0.1.0"
+__version__ = "0.2.0"

@@ -1 +1 @@
-
+"""Column functions: text, keys, JSON and schema checks."""
