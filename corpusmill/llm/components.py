@@ -15,6 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from corpusmill.operators.graph import star_contraction
 from corpusmill.session import cut, drop, join_hot
 
 #: Ids that name no record.
@@ -79,26 +80,6 @@ def compress_chains(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
     return parents.where("v <> parent").select("v", "parent"), left
 
 
-def solve_core(edges: DataFrame) -> DataFrame:
-    """v, label for every vertex of the edges: alternating large-star and small-star rounds until every edge points at
-    the least vertex of its component."""
-    stars = edges.select(F.col("hi").alias("v"), F.col("lo").alias("w"))
-    before = None
-    while True:
-        both = stars.unionAll(stars.select(F.col("w").alias("v"), F.col("v").alias("w")))
-        least = both.groupBy("v").agg(F.min("w").alias("m"), F.count("*").alias("n"))
-        large = cut(join_hot(both, least, "v", "n").where("w > v").select(F.col("w").alias("v"), F.least("m", "v").alias("w")).distinct())
-        least = large.groupBy("v").agg(F.min("w").alias("m"), F.count("*").alias("n"))
-        small = join_hot(large, least, "v", "n")
-        old, stars = stars, cut(small.select(F.col("w").alias("v"), F.col("m").alias("w")).where("v <> w").unionAll(least.select("v", F.col("m").alias("w"))).distinct())
-        drop(old, large)
-        now = stars.agg(F.count("*"), F.sum(F.xxhash64("v", "w").cast("decimal(38,0)"))).first()
-        if now == before:
-            break
-        before = now
-    return stars.select("v", F.col("w").alias("label")).unionAll(stars.select(F.col("w").alias("v"), F.col("w").alias("label")).distinct())
-
-
 def components(pairs: DataFrame, left: str = "duplicate_id", right: str = "anchor_id") -> DataFrame:
     """record_id, group_id: every record named in either column, with the least id (byte order) of all records linked
     with it directly or through others.
@@ -126,7 +107,7 @@ def components(pairs: DataFrame, left: str = "duplicate_id", right: str = "ancho
         if now == count:  # no vertex of degree one or two is left
             break
         count = now
-    labels = cut(solve_core(edges)) if count else None
+    labels = cut(star_contraction(edges)) if count else None
     for removed in reversed(removals):
         if labels is None:
             found = removed.select("v", F.col("parent").alias("label"))

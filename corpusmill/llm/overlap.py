@@ -4,7 +4,8 @@ Method: content-defined chunks. A prompt's words are cut after every word whose
 labelled part. An edited word damages two chunks at most, so of two prompts within ``edits`` edits each has at most
 2 x edits chunks the other lacks, and among the 2 x edits + 1 rarest of either (in one order for all) there is one in
 common. Pairs that share such a chunk, and whose signatures of words differ in few bits, are compared word by word.
-Prompts of too few chunks are met by their rarest words in the same way.
+Prompts of too few chunks are met by their rarest words in the same way. Each pair gets the overlap fraction: the summed
+length of the chunks both have over that of all chunks of the held-out one.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ from itertools import permutations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusmill.llm.ledger import LABELS
+from corpusmill.llm.ledger import closed_pattern, labelled_pattern, learn_labels
 from corpusmill.session import staged
 
 EDITS = 4
@@ -25,22 +26,23 @@ EDITS = 4
 SPARE = 3
 
 
-@lru_cache(maxsize=1)
-def _patterns():
+@lru_cache(maxsize=4)
+def _patterns(labels: tuple[str, ...]):
     import regex
 
     asian = r"[\p{Han}\p{Hiragana}\p{Katakana}]"
-    known = r"^[^\p{L}\p{N}]*(?:" + "|".join(LABELS) + r")(?![\p{L}\p{N}])|^[^:.!?]{1,40}:"
-    return regex.compile(r"[\p{L}\p{N}]"), regex.compile(known), regex.compile(asian + r"|[\p{L}\p{N}--" + asian + "]+", regex.V1)
+    return regex.compile(r"[\p{L}\p{N}]"), regex.compile(labelled_pattern(labels)), regex.compile(closed_pattern(labels)), regex.compile(asian + r"|[\p{L}\p{N}--" + asian + "]+", regex.V1)
 
 
-def _parts(text: str | None) -> tuple[list[list[str]], list[str]]:
+def _parts(text: str | None, labels: tuple[str, ...] = ()) -> tuple[list[list[str]], list[str]]:
     """(words of each labelled opening part, words of the rest), as ledger.canonical_prompt takes them apart."""
-    some, known, word = _patterns()
+    some, known, closed, word = _patterns(labels)
     parts = [p for p in re.split(r"[\n\r|\u2028\u0085]+", (text or "").upper().lower()) if some.search(p)]
     n = 0
     while n < len(parts) - 1 and known.search(parts[n]):
         n += 1
+    if n and n == len(parts) - 1 and closed.search(parts[n]):
+        n += 1
     split = [word.findall(p) for p in parts]
     return sorted(split[:n]), [w for p in split[n:] for w in p]
 
@@ -49,6 +51,25 @@ def _hash(text: str) -> int:
     return zlib.crc32(text.encode("utf-8", "replace"))
 
 
+def _chunks(heads: list[list[str]], body: list[str]) -> dict[int, int]:
+    """Digest of each chunk and its length."""
+    out = {}
+    for part in (*heads, body):
+        held = ""
+        for i, w in enumerate(part):
+            held += w
+            if i + 1 == len(part) or _hash(w) % 2 == 0:
+                out[_hash(held) << 16 ^ len(held)] = len(held)
+                held = ""
+    return out
+
+
+def overlap_of(a: str | None, b: str | None, labels: tuple[str, ...] = ()) -> float:
+    """Length of the chunks of a that b has too over that of all its chunks; 0 if it has none."""
+    x, y = _chunks(*_parts(a, labels)), _chunks(*_parts(b, labels))
+    return sum(n for c, n in x.items() if c in y) / max(sum(x.values()), 1)
+
+
 def _tokens(heads: list[list[str]], body: list[str], edits: int) -> list[tuple[int, int]]:
     """(kind, hash): chunks (0), for short prompts words (1) and, for the shortest, one mark in common (2); and one for
     the whole prompt (3), by which those that differ in formatting only meet however their words are split."""
@@ -119,9 +140,9 @@ def distance(a: list[str], b: list[str], most: int) -> int:
     return rows[len(a)].get(len(b), far)
 
 
-def apart(a: str | None, b: str | None, most: int = EDITS) -> int:
+def apart(a: str | None, b: str | None, most: int = EDITS, labels: tuple[str, ...] = ()) -> int:
     """Words in which two prompts differ, formatting and the order of labelled parts aside, up to most + 1."""
-    (ha, ba), (hb, bb) = _parts(a), _parts(b)
+    (ha, ba), (hb, bb) = _parts(a, labels), _parts(b, labels)
     whole = distance([w for p in ha for w in p] + ba, [w for p in hb for w in p] + bb, most)
     if whole == 0:
         return 0
@@ -148,10 +169,11 @@ def _path(c: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(t, r"/(\./)+", "/"), r"^(\./)+", "")
 
 
-def crossing(data: DataFrame, lines: DataFrame, manifest: DataFrame, edits: int = EDITS) -> DataFrame:
-    """id_a, id_b (the smaller first), split_version, split (val or test), held_id and train_id: every pair of records
+def crossing(data: DataFrame, lines: DataFrame, manifest: DataFrame, edits: int = EDITS, labels: tuple[str, ...] | None = None) -> DataFrame:
+    """id_a, id_b (the smaller first), split_version, split (val or test), held_id, train_id and overlap: every pair of records
     of which one is in train and the other in val or test of one version and whose prompts differ in ``edits`` words
     at most. Prompts without a letter or digit are compared with nothing; repeated lines count once."""
+    labels = learn_labels(data) if labels is None else labels
     sides = F.explode(F.array(*(F.struct(F.lit(s).alias("split"), _path(F.col(f"outputs.{s}_path")).alias("path")) for s in ("train", "val", "test"))))
     paths = manifest.select("split_version", sides.alias("s")).select("split_version", "s.*")
     member = lines.select(_path(F.col("split_path")).alias("path"), F.col("record_id").alias("id")).join(F.broadcast(paths), "path").select("split_version", "split", "id").distinct()
@@ -161,7 +183,7 @@ def crossing(data: DataFrame, lines: DataFrame, manifest: DataFrame, edits: int
         import pyarrow as pa
 
         for batch in batches:
-            parts = [_parts(t) for t in batch.column(2).to_pylist()]
+            parts = [_parts(t, labels) for t in batch.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([_signature(*p) for p in parts], pa.list_(pa.int64())), pa.array([_tokens(*p, edits) for p in parts], pa.list_(pa.struct([("kind", pa.int32()), ("mark", pa.int64())])))], names=["n", "id", "prompt", "s", "t"])
 
     prompts = data.select("id", "prompt").where(F.col("prompt").rlike(r"[\p{L}\p{N}]")).join(member.select("id").distinct(), "id", "left_semi")
@@ -187,9 +209,11 @@ def crossing(data: DataFrame, lines: DataFrame, manifest: DataFrame, edits: int
         import pyarrow as pa
 
         for batch in batches:
-            ok = [apart(a, b, edits) <= edits for a, b in zip(batch.column(4).to_pylist(), batch.column(5).to_pylist())]
+            texts = list(zip(batch.column(4).to_pylist(), batch.column(5).to_pylist()))
+            ok = [apart(a, b, edits, labels) <= edits for a, b in texts]
             kept = batch.filter(pa.array(ok, pa.bool_()))
-            yield pa.RecordBatch.from_arrays([kept.column(k) for k in range(4)], names=["split_version", "split", "held_id", "train_id"])
+            shared = pa.array([overlap_of(a, b, labels) for (a, b), x in zip(texts, ok) if x], pa.float64())
+            yield pa.RecordBatch.from_arrays([*(kept.column(k) for k in range(4)), shared], names=["split_version", "split", "held_id", "train_id", "overlap"])
 
-    near = both.mapInArrow(compare, "split_version string, split string, held_id string, train_id string")
-    return near.select(F.least("held_id", "train_id").alias("id_a"), F.greatest("held_id", "train_id").alias("id_b"), "split_version", "split", "held_id", "train_id")
+    near = both.mapInArrow(compare, "split_version string, split string, held_id string, train_id string, overlap double")
+    return near.select(F.least("held_id", "train_id").alias("id_a"), F.greatest("held_id", "train_id").alias("id_b"), "split_version", "split", "held_id", "train_id", "overlap")

@@ -111,8 +111,8 @@ def p6_by_split(spark: SparkSession, d: str) -> DataFrame:
     """split_version, split, source, records found in it that are in train too, and the zero that is claimed."""
     claim = _read(spark, d, "splits_stats").select("split_version", F.col("leakage_validation.fingerprints_spanning_splits").alias("claimed"))
     source = _read(spark, d, "dataset_v1").select(F.col("id").alias("held_id"), "source")
-    found = _crossing(spark, d).select("split_version", "split", "held_id").distinct().join(source, "held_id")
-    return found.groupBy("split_version", "split", "source").agg(F.count("*").alias("leaked")).join(claim, "split_version", "left")
+    found = _crossing(spark, d).groupBy("split_version", "split", "held_id").agg(F.max("overlap").alias("overlap")).join(source, "held_id")
+    return found.groupBy("split_version", "split", "source").agg(F.count("*").alias("leaked"), F.avg("overlap").alias("mean_overlap")).join(claim, "split_version", "left")
 
 
 # Problem 7 -----------------------------------------------------------------------------------------------------------
