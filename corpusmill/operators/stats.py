@@ -26,7 +26,7 @@ def coverage(dist: DataFrame) -> DataFrame:
     """dim_name, distinct values, least and largest count and the values that have them (ties: the first seen)."""
     return dist.groupBy("dim_name").agg(
         F.count("*").alias("num_values"), F.min("n").alias("min_count"), F.max("n").alias("max_count"),
-        F.min_by("value", F.struct("n", "first_ord", "value")).alias("min_value"), F.max_by("value", F.struct(F.col("n"), -F.col("first_ord"), F.col("value"))).alias("max_value"),
+        F.min_by("value", F.struct("n", "first_ord", "value")).alias("min_value"), F.min_by("value", F.struct(-F.col("n"), F.col("first_ord"), F.col("value"))).alias("max_value"),
     )
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusmill.functions import fixed, jsonx, text
-from corpusmill.operators import balance, dedup, evaluation, joins, plan, quality, sft, split, stats
+from corpusmill.operators import balance, dedup, evaluation, joins, plan, quality, records, sft, split, stats
 from corpusmill.session import new_path, staged
 from corpusmill.sources import jsonl
 
@@ -487,6 +487,23 @@ def v2_union(spark, d):
     return joins.union_all(base, more).groupBy("source").agg(F.count("*").alias("n"))
 
 
+def pass_rates(spark, d):
+    got = records.pass_rates(jsonx.contract_flags(jsonx.parsed(_drafts(spark, d), "output_text", ["id"])))
+    return got.select("attempted", F.round("strict_json_ok_rate", 6).alias("strict_json_ok_rate"))
+
+
+def error_envelopes(spark, d):
+    rows = _read(spark, d, "drafts_v1").where("contract.error_code is not null").withColumn("e", records.error_envelope(F.col("contract.error_code"), F.lit("$"), F.col("output_text")))
+    return rows.select("id", "e.error_code", F.element_at("e.guidance", 1).alias("guidance"), F.length("e.excerpt").cast("long").alias("excerpt_length")).distinct()
+
+
+def dry_run_contract(spark, d):
+    """Contracts of dry-run answers to the records."""
+    rows = records.dry_run(_records(spark, d, "payload_type"))
+    got = jsonx.contract_flags(jsonx.parsed(rows, "output_text", ["id"]))
+    return got.groupBy(F.coalesce("error_code", F.lit("ok")).alias("code")).agg(F.count("*").alias("n"))
+
+
 SPEC = {
     "seed": 42, "total_examples": 2000, "payload_types": {"itinerary": 0.4, "checklist": 0.3, "procedure": 0.2, "decision_tree": 0.1}, "categories": {"transport": 0.5, "safety": 0.3, "health": 0.2}, "difficulties": {"easy": 0.3, "medium": 0.5, "hard": 0.2},
     "regions": {"north": 0.6, "south": 0.4}, "locations": {"north": [("Vinlo", ["Tinska", "Mivik"]), ("Elrune", ["Novik"])], "south": [("Solta", ["Isthos", "Duwen", "Corta"])]}, "user_profiles": ["a choir on tour", "a solo cyclist"],
@@ -512,7 +529,7 @@ QUERIES = {
         distribution, percentages, coverage, drift, top_tags, top_error_codes, plan_stats,
         split_members, split_validate, split_distribution, heldout_projection, split_assign, split_assign_checked, full_outer_join_inputs, run_counters, resume_anti_join,
         strict_json, lenient_json, contract, required_fields, canonical_json, eval_rollup, latency_percentiles, metric_delta, severity_topk, taxonomy, failure_categories,
-        sft_rows, sft_errors, jsonl_round_trip, jsonl_skip, v2_union, prompt_plan, hard_prompts,
+        sft_rows, sft_errors, jsonl_round_trip, jsonl_skip, v2_union, pass_rates, error_envelopes, dry_run_contract, prompt_plan, hard_prompts,
     )
 }
 
@@ -550,7 +567,7 @@ ORACLE: dict[str, str] = {
     "stratified_sample": "with r as (select id, coalesce(payload_type, '') p, coalesce(difficulty, '') f, row_number() over (partition by coalesce(payload_type, ''), coalesce(difficulty, '') order by md5('42|' || id), id) k from dataset_v1) select id from r order by k, md5('42|' || p || '|' || f), p, f limit 40",
     "distribution": f"{_SQL_DIST} select * from dist",
     "percentages": f"{_SQL_DIST} select dim_name, \"value\", n, round((n * 100 / (select count(*) from dataset_v1))::decimal(18, 8), 2)::double pct from dist",
-    "coverage": f"{_SQL_DIST} select dim_name, count(*) num_values, min(n) min_count, max(n) max_count, arg_min(\"value\", {{'a': n, 'b': first_ord, 'c': \"value\"}}) min_value, arg_max(\"value\", {{'a': n, 'b': -first_ord, 'c': \"value\"}}) max_value from dist group by dim_name",
+    "coverage": f"{_SQL_DIST} select dim_name, count(*) num_values, min(n) min_count, max(n) max_count, arg_min(\"value\", {{'a': n, 'b': first_ord, 'c': \"value\"}}) min_value, arg_min(\"value\", {{'a': -n, 'b': first_ord, 'c': \"value\"}}) max_value from dist group by dim_name",
     "drift": f"{_SQL_DIST} select t.dim_value \"value\", round(target_share * 100)::bigint intended, coalesce(n, 0) observed, coalesce(n, 0) - round(target_share * 100)::bigint delta from target_mix t left join dist on dist.dim_name = 'category' and dist.\"value\" = t.dim_value where t.dim_name = 'category'",
     "top_tags": f"{_SQL_DIST} select \"value\", n, round((n * 100 / (select sum(n) from dist where dim_name = 'region_tag'))::decimal(18, 8), 2)::double pct_of_mentions from dist where dim_name = 'region_tag' order by n desc, \"value\" limit 10",
     "top_error_codes": "select contract.error_code code, count(*) n from drafts_v1 where contract.error_code is not null group by 1 order by n desc, code limit 10",
@@ -571,6 +588,11 @@ ORACLE: dict[str, str] = {
     "latency_percentiles": "select count(teacher.latency_s) n, round(avg(teacher.latency_s), 6) \"avg\", round(quantile_cont(teacher.latency_s, 0.5), 6) p50, round(quantile_cont(teacher.latency_s, 0.9), 6) p90, round(min(teacher.latency_s), 6) least, round(max(teacher.latency_s), 6) largest from drafts_v1",
     "metric_delta": f"{_SQL_EVAL}, s as (select model, avg(strict::int) a, avg(coalesce(overall_ok, false)::int) b, coalesce(count(*) filter (strict and coalesce(overall_ok, false)) / nullif(count(*) filter (strict), 0), 0.0) c, avg(has_verification_marker::int) u, avg(latency_s * 1000) l from e group by 1), x as (select model, unnest([{{'m': 'parse_success_rate', 'v': a}}, {{'m': 'schema_valid_rate', 'v': b}}, {{'m': 'required_field_presence_rate', 'v': c}}, {{'m': 'uncertainty_marker_presence_rate', 'v': u}}, {{'m': 'avg_latency_ms', 'v': l}}]) y from s), z as (select y.m metric, round(max(y.v) filter (model = 'lantern/guide-8b'), 6) base, round(max(y.v) filter (model = 'lantern/guide-70b'), 6) tuned from x group by 1) select metric, base, tuned, case when metric like 'avg%' then round(tuned - base, 2) else round(tuned - base, 4) end delta from z",
     "taxonomy": f"{_SQL_EVAL} select count(*) filter (not strict) parse_failures, count(*) filter (strict and not coalesce(overall_ok, false)) envelope_failures, 0::bigint payload_failures, count(*) filter (not coalesce(overall_ok, false)) with_missing_fields, count(*) filter (not coalesce(overall_ok, false)) missing_verification_steps, count(*) filter (not has_verification_marker) without_uncertainty_marker from e",
+    "pass_rates": f"select count(*) attempted, round(avg({_SQL_STRICT}::int), 6) strict_json_ok_rate from drafts_v1",
+    "error_envelopes": "select distinct id, contract.error_code error_code, case contract.error_code "
+    + " ".join(f"when '{c}' then '{g}'" for c, g in records.GUIDANCE.items())
+    + " end guidance, case when length(coalesce(output_text, '')) > 500 then 503 else length(coalesce(output_text, '')) end excerpt_length from drafts_v1 where contract.error_code is not null",
+    "dry_run_contract": "select case when ord = (select min(ord) from dataset_v1) then 'ok' else 'ENVELOPE_SCHEMA_FAILED' end code, count(*) n from dataset_v1 group by 1",
     "jsonl_round_trip": "select id, ord, prompt, summary, category, array_to_string(region_tags, ',') region_tags from dataset_v1",
     "v2_union": f"with t as ({_SQL_TAGS}) select 'v1' source, count(*) n from t union all select 'oversampled', floor(0.5 * count(*))::bigint from t where contains(tags, 'missing_verification_steps') or contains(tags, 'missing_next_steps')",
 }
