@@ -175,6 +175,8 @@ class Model:
 def fit_languages(texts: list[tuple[str, str]]) -> Model:
     """Multinomial language model over hashed words: the log-probability of each word in each language, less its mean."""
     langs = sorted({lang for _, lang in texts})
+    if not langs:
+        return Model([], np.zeros((2**BITS, 0), dtype=np.float32))
     counts = np.zeros((2**BITS, len(langs)))
     for lang in langs:
         h, _ = _words([said(t) for t, l in texts if l == lang], {})

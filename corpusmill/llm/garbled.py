@@ -51,7 +51,7 @@ GAIN, MASS, LEAST = 0.5, 300.0, 20
 CHUNK = r"(?:[^ \t\r\n\xa0]*[^\x00-\x7f\xa0])(?:[^ \t\r\n\xa0]|(?<=[^\x00-\x7f])\xa0)*"
 #: Encodings whose characters are of several bytes: one of them, read back strictly, proves its chain.
 WIDE = ("utf-8", "cp932", "euc_jp")
-_MIXED = re.compile("[a-z\u00df-\u024f][\u0400-\u04ff]|[\u0400-\u04ff][a-z\u00df-\u024f]")
+_MIXED = re.compile("[A-Za-z\u00c0-\u024f][\u0400-\u04ff]|[\u0400-\u04ff][A-Za-z\u00c0-\u024f]")
 _CHUNK = re.compile(CHUNK)
 _C1 = {**{chr(b): bytes([b]) for b in range(0x80, 0xA0)}}
 
@@ -149,9 +149,9 @@ class Classifier:
             if k == 0 or s[k] < self.sure:
                 break
             back = invert(word, self.chains[k - 1])
-            if back is None or back == word or back.isascii() and not any(c.isalnum() for c in back):
+            if back is None or back == word or _MIXED.search(back) or back.isascii() and not any(c.isalnum() for c in back):
                 continue
-            if back.isascii() or self.chains[k - 1][0] == "utf-8" or self.fluency(back) > self.fluency(word) + GAIN:
+            if back.isascii() or self.chains[k - 1][0] == "utf-8" or self.fluency(back) > max(self.fluency(word) + GAIN, self.floor):
                 return int(k), back
         # What lost bytes on the way can't be read back.
         if "\ufffd" in word:

@@ -170,4 +170,27 @@ QUERIES = {
     "p4_found": p4_found, "p4_ledger": p4_ledger, "p5_found": p5_found, "p5_rates": p5_rates, "p6_found": p6_found, "p6_by_split": p6_by_split, "p7_found": p7_found, "p7_rates": p7_rates, "p8_ids": p8_ids, "p8_round_trip": p8_round_trip, "p9_found": p9_found, "p9_items": p9_items,
     "p10_found": p10_found, "p10_restored": p10_restored,
 }
-ORACLE = {"p2_found": P2_FOUND_SQL, "p8_round_trip": "select doc_id, coalesce(text, '') as text from documents"}
+P1_SQL = """
+with recursive c as (select regexp_replace(duplicate_id, '^[\\t-\\r \\x{85}\\p{Z}]+|[\\t-\\r \\x{85}\\p{Z}]+$', '', 'g') l, regexp_replace(anchor_id, '^[\\t-\\r \\x{85}\\p{Z}]+|[\\t-\\r \\x{85}\\p{Z}]+$', '', 'g') r from dup_pairs),
+d as (select case when l not in ('', 'unknown') then l end l, case when r not in ('', 'unknown') then r end r from c),
+v as (select l id from d where l is not null union select r from d where r is not null),
+e as (select l a, r b from d where l <> r union select r, l from d where l <> r),
+reach(id, m) as (select id, id from v union select e.b, reach.m from reach join e on e.a = reach.id where reach.m < e.b),
+g as (select id record_id, min(m) group_id from reach group by id)
+"""
+_BREAK, _LD = r"[\n\r|\x{2028}\x{85}]+", r"regexp_replace(replace(lower(upper(coalesce({0}, ''))), 'ß', 'ss'), '[^\p{{L}}\p{{N}}]+', '', 'g')"
+P4_SQL = rf"""
+with n as (select *, replace(lower(upper(coalesce(prompt, ''))), 'ß', 'ss') low from dataset_v1 where id is not null),
+o as (select regexp_extract(p, '^[^\p{{L}}\p{{N}}]*(\p{{L}}+(?: \p{{L}}+){{0,2}})\s*:', 1) l from (select unnest(regexp_split_to_array(low, '{_BREAK}')) p from n where prompt is not null)),
+k as (select string_agg(l, '|' order by length(l) desc, l) labels from (select l, count(*) c from o where l <> '' group by l) where c >= greatest(3, 0.02 * (select count(*) from dataset_v1))),
+q as (select id, ord, summary, payload_type, list_filter(regexp_split_to_array(low, '{_BREAK}'), lambda x: regexp_matches(x, '[\p{{L}}\p{{N}}]')) parts, labels from n, k),
+r as (select *, case when len(parts) < 2 then 0 else coalesce(nullif(list_position(list_transform(parts[1:len(parts) - 1], lambda x: regexp_matches(x, '^[^\p{{L}}\p{{N}}]*(?:' || labels || ')(?:[^\p{{L}}\p{{N}}]|$)|^[^:.!?]+:')), false), 0) - 1, case when regexp_matches(parts[-1], '^[^\p{{L}}\p{{N}}]*(?:' || labels || ')\s*:') then len(parts) else len(parts) - 1 end) end h from q),
+t as (select id, ord, array_to_string(list_sort(list_transform(parts[1:h], lambda x: {_LD.format('x')})), '|') || '||' || array_to_string(list_transform(parts[h + 1:len(parts)], lambda x: {_LD.format('x')}), '') || chr(10) || {_LD.format('summary')} || chr(10) || {_LD.format('payload_type')} key from r),
+g as (select key, min(id) keep_id, count(*) copies, arg_min(id, {{'o': ord, 'i': id}}) first_id from t group by key)
+"""
+
+ORACLE = {
+    "p1_found": P1_SQL + "select group_id, record_id from g where group_id <> record_id", "p1_group_sizes": P1_SQL + "select group_id, count(*) members from g group by 1",
+    "p2_found": P2_FOUND_SQL, "p4_found": P4_SQL + "select distinct keep_id, id dup_id from t join g using (key) where id <> keep_id", "p4_ledger": P4_SQL + "select keep_id, copies, first_id from g",
+    "p8_round_trip": "select doc_id, coalesce(text, '') as text from documents",
+}

@@ -25,7 +25,7 @@ _STRING = re.compile(r'"(?:[^"\\]|\\.)*"', re.S)
 _ESCAPE = re.compile(r"\\u([0-9a-fA-F]{4})")
 _SEGMENT = re.compile(r"(?<=[.!?。！？])[\"'”’»)*]*\s+|(?<=[。！？])|\n+")
 #: What a transfer may append after a cut: dots, a replacement character, a fence, a short note in brackets.
-_APPENDED = re.compile(r"(?:\s*(?:\.{3,}|…|�|```\w*|[\[(<][\w .…-]{1,24}[\])>]))+\s*$")
+_APPENDED = re.compile(r"(?:\s*(?:\.{3,}|…|�|```\w*|[\[<][\w .…-]{1,24}[\]>]|\((?:cut|trunc\w*|continue\w*|more|end|snip\w*)\b[\w .…-]*\)))+\s*$")
 _NOTE = re.compile(r"(?:\.{3,}|…|�|[\[<(]\W*(?:cut|trunc\w*|continue\w*|more|end|snip\w*)\b[\w .…-]*[\])>])\s*$", re.I)
 #: Marks that close a sentence, and what may stand after them.
 _CLOSED = re.compile(r"[.!?。！？:;][\"'”’»)\]*_`]*$|[)\]}\"”»*_]$")
