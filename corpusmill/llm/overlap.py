@@ -47,6 +47,7 @@ def _parts(text: str | None, labels: tuple[str, ...] = ()) -> tuple[list[list[st
     return sorted(split[:n]), [w for p in split[n:] for w in p]
 
 
+@lru_cache(maxsize=1 << 16)
 def _hash(text: str) -> int:
     return zlib.crc32(text.encode("utf-8", "replace"))
 
@@ -66,7 +67,7 @@ def _chunks(heads: list[list[str]], body: list[str]) -> dict[int, int]:
 
 def overlap_of(a: str | None, b: str | None, labels: tuple[str, ...] = ()) -> float:
     """Length of the chunks of a that b has too over that of all its chunks; 0 if it has none."""
-    x, y = _chunks(*_parts(a, labels)), _chunks(*_parts(b, labels))
+    x, y = _prepared(a, labels)[3], _prepared(b, labels)[3]
     return sum(n for c, n in x.items() if c in y) / max(sum(x.values()), 1)
 
 
@@ -101,6 +102,30 @@ def _signature(heads: list[list[str]], body: list[str]) -> list[int]:
     return [(bits >> 64 * k & 2**64 - 1) - 2**63 for k in range(4)]
 
 
+def plain_distance(a: list[str], b: list[str], most: int) -> int:
+    """Words inserted, dropped or replaced, counted up to most + 1: furthest reaching points, diagonal by diagonal."""
+    n, m = len(a), len(b)
+    if abs(n - m) > most:
+        return most + 1
+    reach: dict[int, int] = {}
+    for e in range(most + 1):
+        now = {}
+        for k in range(-e, e + 1):
+            # Replaced, dropped from a, inserted from b.
+            i = 0 if e == 0 else min(max(reach.get(k, -9) + 1, reach.get(k - 1, -9) + 1, reach.get(k + 1, -9)), n, m + k)
+            j = i - k
+            if i < 0 or j < 0:
+                continue
+            while i < n and j < m and a[i] == b[j]:
+                i += 1
+                j += 1
+            if i == n and j == m:
+                return e
+            now[k] = i
+        reach = now
+    return most + 1
+
+
 def distance(a: list[str], b: list[str], most: int) -> int:
     """Words inserted, dropped or replaced between a and b, counted up to most + 1. Words that are only split or
     joined otherwise cost nothing."""
@@ -140,9 +165,22 @@ def distance(a: list[str], b: list[str], most: int) -> int:
     return rows[len(a)].get(len(b), far)
 
 
+@lru_cache(maxsize=4096)
+def _prepared(text: str | None, labels: tuple[str, ...]) -> tuple[list[list[str]], list[str], list[str], dict[int, int]]:
+    """Labelled parts, rest, all words in order, chunks: a prompt is in many pairs, one after another."""
+    heads, body = _parts(text, labels)
+    return heads, body, [w for p in heads for w in p] + body, _chunks(heads, body)
+
+
+def within(a: str | None, b: str | None, most: int = EDITS, labels: tuple[str, ...] = ()) -> bool:
+    """Whether two prompts are at most so many words apart: the plain distance first, which most such pairs keep."""
+    return plain_distance(_prepared(a, labels)[2], _prepared(b, labels)[2], most) <= most or apart(a, b, most, labels) <= most
+
+
 def apart(a: str | None, b: str | None, most: int = EDITS, labels: tuple[str, ...] = ()) -> int:
     """Words in which two prompts differ, formatting and the order of labelled parts aside, up to most + 1."""
-    (ha, ba), (hb, bb) = _parts(a, labels), _parts(b, labels)
+    (ha, ba, *_), (hb, bb, *_) = _prepared(a, labels), _prepared(b, labels)
+    ha, hb = list(ha), list(hb)
     whole = distance([w for p in ha for w in p] + ba, [w for p in hb for w in p] + bb, most)
     if whole == 0:
         return 0
@@ -210,7 +248,7 @@ def crossing(data: DataFrame, lines: DataFrame, manifest: DataFrame, edits: int
 
         for batch in batches:
             texts = list(zip(batch.column(4).to_pylist(), batch.column(5).to_pylist()))
-            ok = [apart(a, b, edits, labels) <= edits for a, b in texts]
+            ok = [within(a, b, edits, labels) for a, b in texts]
             kept = batch.filter(pa.array(ok, pa.bool_()))
             shared = pa.array([overlap_of(a, b, labels) for (a, b), x in zip(texts, ok) if x], pa.float64())
             yield pa.RecordBatch.from_arrays([*(kept.column(k) for k in range(4)), shared], names=["split_version", "split", "held_id", "train_id", "overlap"])
