@@ -253,7 +253,19 @@ def garbled(docs: DataFrame, id_col: str = "doc_id", text: str = "text", words:
     # The most frequent words of each script, so that rare scripts are learnt too.
     script = F.when(F.col("w").rlike(r"[\u0400-\u04ff]"), 1).when(F.col("w").rlike(r"[\u3040-\u9fff]"), 2).when(F.col("w").rlike(r"[\u2000-\u206f\u20a0-\u20cf]"), 3).otherwise(0)
     counted = staged(chunks.groupBy("w").agg(F.count("*").alias("n")).withColumn("s", script), "words")
-    picked = {r.w: r.n for k in range(4) for r in counted.where(F.col("s") == k).orderBy(F.desc("n"), "w").limit(words).collect()}  # at most words x 4
+    # Of each script the most frequent words. The words are counted by the magnitude of their counts, so that no more than
+    # a few times as many as are wanted leave the tasks; of the lowest magnitude let in, a hash decides.
+    sizes = counted.groupBy("s", F.floor(F.log2("n")).alias("m")).agg(F.count("*").alias("k")).collect()  # at most 64 a script
+    picked: dict[str, int] = {}
+    for s in sorted({r.s for r in sizes}):
+        held, low, part = 0, 0, 1.0
+        for m, k in sorted(((r.m, r.k) for r in sizes if r.s == s), reverse=True):
+            low, part = m, min(1.0, 2 * max(words - held, 0) / k)
+            held += k
+            if held >= words:
+                break
+        let_in = (F.floor(F.log2("n")) > low) | ((F.floor(F.log2("n")) == low) & (F.pmod(F.xxhash64("w"), F.lit(2**31)) < F.lit(int(2**31 * part))))
+        picked |= {r.w: r.n for r in counted.where(F.col("s") == s).where(let_in).orderBy(F.desc("n"), "w").limit(words).collect()}
     drop(counted)
     model = fit(picked)
     kept = spark.sparkContext.broadcast((model.table, model.floor))
