@@ -52,6 +52,7 @@ CHUNK = r"(?:[^ \t\r\n\xa0]*[^\x00-\x7f\xa0])(?:[^ \t\r\n\xa0]|(?<=[^\x00-\x7f])
 #: Encodings whose characters are of several bytes: one of them, read back strictly, proves its chain.
 WIDE = ("utf-8", "cp932", "euc_jp")
 _MIXED = re.compile("[A-Za-z\u00c0-\u024f][\u0400-\u04ff]|[\u0400-\u04ff][A-Za-z\u00c0-\u024f]")
+_LATIN, _CYRILLIC = re.compile("[A-Za-z\u00c0-\u024f]"), re.compile("[\u0400-\u04ff]")
 _CHUNK = re.compile(CHUNK)
 _C1 = {**{chr(b): bytes([b]) for b in range(0x80, 0xA0)}}
 
@@ -215,7 +216,7 @@ def restore(text: str, model: Classifier) -> tuple[str, str | None] | None:
     odd: Counter = Counter()
     for w, (k, _) in judged.items():
         if k:
-            odd[k] += 3 if k > len(model.chains) or model.chains[k - 1][0] in WIDE or _MIXED.search(w) else sum(c > "\x7f" for c in w)
+            odd[k] += 3 if k > len(model.chains) or model.chains[k - 1][0] in WIDE or _LATIN.search(w) and _CYRILLIC.search(w) else sum(c > "\x7f" for c in w)
     judged = {w: j if odd[j[0]] >= 3 else (0, None) for w, j in judged.items()}
     for k, back in judged.values():
         if k:
