@@ -18,7 +18,7 @@ from collections import Counter
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusmill.session import staged
+from corpusmill.session import cut, join_hot, staged
 
 _WORD = re.compile(r"\w+")
 _STRING = re.compile(r'"(?:[^"\\]|\\.)*"', re.S)
@@ -157,17 +157,21 @@ def trie(counts: DataFrame) -> DataFrame:
 
 def evidence(tails: DataFrame, counts: DataFrame, source: str | None = None) -> DataFrame:
     """The tails with: word_n, longer (from the trie), end_n (whole segments that end in the token), like_n and like_le
-    (whole segments that open alike, and those of them not longer), and with ``source`` also at_limit."""
-    # Only open tails need the corpus; their tokens and openers are made distinct first.
-    ask = tails.where("json < 2 and not closed")
-    tokens = ask.select("token").where("token is not null").distinct()
+    (whole segments that open alike, and those of them not longer), own and own_all (texts that end in a line of the same
+    opener and length, and of the same opener), and with ``source`` also at_limit."""
+    # Only open tails need the corpus (the others have no token to look up: they would all meet in one task). Their tokens
+    # are counted first, so the trie is asked for each once and frequent ones are joined apart.
+    open_ = (F.col("json") < 2) & ~F.col("closed")
+    ask, rest = tails.where(open_), tails.where(~open_)
+    tokens = ask.where("token is not null").groupBy("token").agg(F.count("*").alias("asked"))
     found = tokens.join(trie(counts), tokens["token"] == F.col("prefix"), "left").drop("prefix")
-    found = found.join(counts.where("kind = 'e'").groupBy("token").agg(F.sum("n").alias("end_n")), "token", "left")
+    found = cut(found.join(counts.where("kind = 'e'").groupBy("token").agg(F.sum("n").alias("end_n")), "token", "left").select("token", "asked", F.col("n").alias("word_n"), "longer", "end_n"))
     lengths = counts.where("kind = 'o'").groupBy("opener", "words").agg(F.sum("n").alias("k"))
-    shapes = ask.select("opener", F.col("words").alias("w")).where("opener is not null").distinct()
-    like = shapes.join(lengths, "opener").groupBy("opener", "w").agg(F.sum("k").alias("like_n"), F.sum(F.when(F.col("words") <= F.col("w"), F.col("k")).otherwise(0)).alias("like_le"))
-    out = tails.join(found.withColumnRenamed("n", "word_n"), "token", "left")
-    out = out.join(like.withColumnRenamed("w", "words"), ["opener", "words"], "left")
+    shapes = cut(ask.where("opener is not null").groupBy("opener", F.col("words").alias("w")).agg(F.count_if(~F.col("running")).alias("own")))
+    like = shapes.join(lengths, "opener", "left").groupBy("opener", "w", "own").agg(F.sum("k").alias("like_n"), F.sum(F.when(F.col("words") <= F.col("w"), F.col("k")).otherwise(0)).alias("like_le"))
+    like = like.join(shapes.groupBy("opener").agg(F.sum("own").alias("own_all")), "opener")
+    out = join_hot(ask.where("token is not null"), found, "token", "asked").unionByName(ask.where("token is null"), allowMissingColumns=True)
+    out = out.join(like.withColumnRenamed("w", "words"), ["opener", "words"], "left").unionByName(rest, allowMissingColumns=True)
     if source is None:
         return out.withColumn("at_limit", F.lit(False))
     # A length is a source's limit if texts pile up on it and most of these end openly.
@@ -183,11 +187,16 @@ def unknown_prefix() -> Column:
 
 def cut_off() -> Column:
     """Whether the evidence says that the text was cut."""
-    never_ends = (F.coalesce("end_n", F.lit(0)) < F.lit(0.02) * F.coalesce("word_n", F.lit(0))) & (F.col("word_n") >= FEW)
-    too_short = (F.col("like_n") >= FEW) & (F.col("like_le") < F.lit(SHORT) * F.col("like_n"))
     ends = lambda share: F.coalesce("end_n", F.lit(0)) >= F.lit(share) * F.coalesce("word_n", F.lit(1))
-    mostly_ends = ends(0.8) | ((F.col("like_n") >= FEW) & (F.col("like_le") >= F.lit(0.2) * F.col("like_n")) & ends(0.1))
-    open_end = ~F.col("closed") & (F.col("noted") | F.col("token").isNull() | unknown_prefix() | F.col("at_limit") | F.coalesce(too_short, F.lit(False)) | F.coalesce(never_ends, F.lit(False)) | (F.col("running") & ~F.coalesce(mostly_ends, F.lit(False))))
+    no = lambda c: F.coalesce(c, F.lit(False))
+    long_enough = no((F.col("like_n") >= FEW) & (F.col("like_le") >= F.lit(0.2) * F.col("like_n")))
+    # A line of its own as many texts end in (a source, a greeting): cuts fall anywhere, not always after as many words.
+    usual = no(~F.col("running") & (F.col("own") >= FEW) & (F.col("own") >= F.lit(0.2) * F.col("own_all")))
+    never_ends = no((F.coalesce("end_n", F.lit(0)) < F.lit(0.02) * F.coalesce("word_n", F.lit(0))) & (F.col("word_n") >= FEW)) & ~long_enough
+    too_short = no((F.col("like_n") >= FEW) & (F.col("like_le") < F.lit(SHORT) * F.col("like_n")))
+    mostly_ends = no(ends(0.8)) | (long_enough & no(ends(0.1)))
+    by_shape = (too_short | never_ends | (F.col("running") & ~mostly_ends)) & ~usual
+    open_end = ~F.col("closed") & (F.col("noted") | F.col("token").isNull() | unknown_prefix() | F.col("at_limit") | by_shape)
     return (F.col("json") == 2) | (open_end & ~(F.col("url") & ~F.col("noted")))
 
 
