@@ -188,9 +188,14 @@ r as (select *, case when len(parts) < 2 then 0 else coalesce(nullif(list_positi
 t as (select id, ord, array_to_string(list_sort(list_transform(parts[1:h], lambda x: {_LD.format('x')})), '|') || '||' || array_to_string(list_transform(parts[h + 1:len(parts)], lambda x: {_LD.format('x')}), '') || chr(10) || {_LD.format('summary')} || chr(10) || {_LD.format('payload_type')} key from r),
 g as (select key, min(id) keep_id, count(*) copies, arg_min(id, {{'o': ord, 'i': id}}) first_id from t group by key)
 """
+# The words as they stand and without tags and JSON escapes; windows of 12 joined as text.
+_P9_WORDS = lambda x: f"regexp_extract_all(lower(regexp_replace({x}, '[\\p{{Cf}}\\p{{Mn}}]', '', 'g')), '[\\p{{L}}\\p{{N}}]+')"
+_P9_BARE = r"""regexp_replace(regexp_replace(text, '\\(?:u[0-9a-fA-F]{4}|[nrtbf"/\\])', ' ', 'g'), '</?[A-Za-z|!][^<>]{0,200}>', ' ', 'g')"""
+_P9_WINDOWS = lambda k, t: f"(select distinct {k}, array_to_string(w[i:i + 11], ' ') t from (select {k}, w, unnest(range(1, len(w) - 10)) i from (select {k}, {_P9_WORDS('text')} w from {t} union all select {k}, {_P9_WORDS(_P9_BARE)} from {t})))"
+P9_SQL = f"select distinct doc_id, item_id from {_P9_WINDOWS('doc_id', 'documents')} join {_P9_WINDOWS('item_id', 'heldout_items')} using (t)"
 
 ORACLE = {
     "p1_found": P1_SQL + "select group_id, record_id from g where group_id <> record_id", "p1_group_sizes": P1_SQL + "select group_id, count(*) members from g group by 1",
     "p2_found": P2_FOUND_SQL, "p4_found": P4_SQL + "select distinct keep_id, id dup_id from t join g using (key) where id <> keep_id", "p4_ledger": P4_SQL + "select keep_id, copies, first_id from g",
-    "p8_round_trip": "select doc_id, coalesce(text, '') as text from documents",
+    "p9_found": P9_SQL, "p8_round_trip": "select doc_id, coalesce(text, '') as text from documents",
 }
