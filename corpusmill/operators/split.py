@@ -29,11 +29,17 @@ def assign_sizes(sizes: list[tuple[str, int]], fractions: tuple[float, ...] = (0
 def assign(groups: DataFrame, fractions: tuple[float, ...] = (0.8, 0.1, 0.1), seed: int = 42, head: int = 100_000) -> DataFrame:
     """id, group_id, split of every record of groups (id, group_id).
 
-    The greedy assignment is sequential in the order of a hash of the groups; the driver runs it over the ``head``
-    largest groups, which decide the shares. The others are so small beside them that they fill what is left: their
-    running size in the order of the hash, computed in the cluster, is laid over the remaining targets."""
+    The greedy assignment is sequential in the order of a hash of the groups; the driver runs it over the largest groups,
+    ``head`` at most (all of one size or none of it), which decide the shares. The others, each small beside a share, go by
+    a hash of the group, in proportion to what each split lacks then."""
     sizes = groups.groupBy("group_id").agg(F.count("*").alias("n"))
-    top = sizes.orderBy(F.desc("n"), "group_id").limit(head).withColumn("o", hashed(seed, "group_id")).collect()  # at most head rows
+    least, held = 0, 0
+    for r in sizes.groupBy("n").agg(F.count("*").alias("k")).orderBy(F.desc("n")).collect():  # one row a distinct size
+        held += r.k
+        if held > head:
+            least = r.n + 1
+            break
+    top = sizes.where(F.col("n") >= least).withColumn("o", hashed(seed, "group_id")).collect()  # at most head rows
     total = groups.count()
     order = [(r.group_id, r.n) for r in sorted(top, key=lambda r: (r.o, r.group_id))]
     spark = groups.sparkSession
